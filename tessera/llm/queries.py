@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality
+from . import jaccard, line_dedup, mixing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, sf_dir)).drop("class")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir), report=True)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_documents(spark, sf_dir), report=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_ngram_jaccard_join,
+        op4_line_dedup,
+        op5_mix_sources,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": mixing.ORACLE_SQL}
