@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from . import _text as T
 from ._spark import documents
@@ -295,7 +296,7 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], [*others, "token_ids"])
 
     slim = docs.select(*others, F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, slim.drop("text").schema.add("token_ids", "array<int>"))
+    return slim.mapInArrow(run, slim.drop("text").schema.add("token_ids", ArrayType(IntegerType())))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -311,7 +312,7 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([t.decode() for t in texts], pa.string())], [*others, "text"])
 
     slim = rows.select(*others, "token_ids")
-    return slim.mapInArrow(run, slim.drop("token_ids").schema.add("text", "string"))
+    return slim.mapInArrow(run, slim.drop("token_ids").schema.add("text", StringType()))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
