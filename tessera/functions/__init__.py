@@ -1,0 +1 @@
+"""Column functions with exact integer semantics."""

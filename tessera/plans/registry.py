@@ -2,6 +2,351 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import scalar as S
+from tessera.operators import blocks as B
+from tessera.operators import fidelity, models, ordered, search
+from tessera.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Steps of the low, middle and high bands, the zero limit, the scene threshold and the longest group.
+LOW, MIDDLE, HIGH, LIMIT, SCENE, INTERVAL = 4, 8, 12, 100, 5000, 15
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL pieces, in DuckDB's dialect
+
+_PX = "px AS (SELECT frame, p // 8 AS y, p % 8 AS x, v FROM (SELECT vec_id AS frame, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS v, unnest(range(64)) AS p FROM embeddings))"
+_SERIES = "series AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
+
+
+def _lift_sql(name: str, source: str, line: str, along: str) -> str:
+    """CTEs that lift every line of ``source`` (frame, y, x, v); the result is ``name``."""
+    a = lambda i: f"a[{i + 1}]"
+    h = ", ".join(f"{a(2 * i + 1)} - (({a(2 * i)} + {a(2 * min(i + 1, 3))} + {i % 2}) >> 1) AS h{i}" for i in range(4))
+    low = ", ".join(f"{a(2 * i)} + ((h{max(i - 1, 0)} + h{i} + 1 + {i % 2}) >> 2)" for i in range(4))
+    return f"""{name}_a AS (SELECT frame, {line}, list(v ORDER BY {along}) AS a FROM {source} GROUP BY frame, {line}),
+{name}_h AS (SELECT frame, {line}, a, {h} FROM {name}_a),
+{name} AS (SELECT frame, {line}, unnest(range(8)) AS {along}, unnest([{low}, h0, h1, h2, h3]) AS v FROM {name}_h)"""
+
+
+_COEF = f"{_PX},\n{_lift_sql('lr', 'px', 'y', 'x')},\n{_lift_sql('coef', 'lr', 'x', 'y')}"
+_BAND = "CASE WHEN y >= 4 AND x >= 4 THEN 'HH' WHEN y >= 4 THEN 'LH' WHEN x >= 4 THEN 'HL' ELSE 'LL' END"
+
+
+def _quant_sql(v: str, step: int, bias: int) -> str:
+    return f"(CASE WHEN {v} < 0 THEN -1 ELSE 1 END * greatest(0, (abs({v}) * {65536 // step} + {bias}) >> 16))"
+
+
+_ZIG = "(CASE WHEN {q} >= 0 THEN 2 * {q} ELSE -2 * {q} - 1 END)"
+_QUANT = f"""{_COEF},
+quant AS (SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN {_quant_sql('v', LOW, 32768)} WHEN 'HH' THEN {_ZIG.format(q=_quant_sql('v', HIGH, 8192))} ELSE {_ZIG.format(q=_quant_sql('v', MIDDLE, 16384))} END AS v FROM coef)"""
+
+
+def _coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.transform_blocks(tables.blocks(spark, sf_dir))
+
+
+def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.quantise_blocks(_coefs(spark, sf_dir), LOW, MIDDLE, HIGH)
+
+
+# Blocks
+
+
+@query(f"WITH {_COEF} SELECT frame, y, x, v FROM coef")
+def block_transform8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(_coefs(spark, sf_dir))
+
+
+@query(f"WITH {_PX} SELECT frame, y, x, v FROM px")
+def block_roundtrip8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(_coefs(spark, sf_dir).withColumn("coef", B.inverse(F.col("coef"))))
+
+
+@query(f"WITH {_QUANT} SELECT frame, y, x, v FROM quant")
+def block_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(_quantised(spark, sf_dir))
+
+
+@query(f"WITH {_QUANT} SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN v * {LOW} ELSE (CASE WHEN v % 2 = 0 THEN v // 2 ELSE -((v + 1) // 2) END) * (CASE {_BAND} WHEN 'HH' THEN {HIGH} ELSE {MIDDLE} END) END AS v FROM quant")
+def block_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(B.dequantise_blocks(_quantised(spark, sf_dir), LOW, MIDDLE, HIGH))
+
+
+@query(f"""WITH {_COEF},
+q AS (SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN {_quant_sql('v', 64, 32768)} ELSE {_quant_sql('v', 64, 0)} END AS v, {_BAND} AS band FROM coef),
+quads AS (SELECT frame, ((y % 4) // 2) * 2 + (x % 4) // 2 AS k, max(abs(v)) AS m FROM q WHERE band <> 'LL' GROUP BY ALL),
+flags AS (SELECT frame, max(CASE WHEN band <> 'LL' THEN abs(v) END) <= 1 AND max(CASE WHEN band = 'LL' THEN abs(v) END) = 0 AS is_zero FROM q GROUP BY frame)
+SELECT f.frame, f.is_zero, bool_or(k.m = 0) AS is_split, CAST((SELECT CASE WHEN f.is_zero THEN 0 ELSE sum(abs(v)) END FROM q WHERE q.frame = f.frame) AS BIGINT) AS left_over
+FROM flags f JOIN quads k USING (frame) GROUP BY f.frame, f.is_zero""")
+def zero_block_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coarse = _coefs(spark, sf_dir).withColumn("coef", F.transform("coef", lambda v, p: F.when(B.band(p) == "LL", S.quantise(v, 64)).otherwise(S.quantise(v, 64, 0))))
+    return B.zero_blocks(coarse, 1).select("frame", "is_zero", "is_split", F.aggregate("coef", F.lit(0).cast("long"), lambda s, v: s + F.abs(v)).alias("left_over"))
+
+
+@query(f"WITH {_COEF}, e AS (SELECT frame, {_BAND} AS band, sum(abs(v)) AS e FROM coef GROUP BY ALL) SELECT frame, CAST(sum(e) FILTER (WHERE band = 'HL') AS BIGINT) AS hl, CAST(sum(e) FILTER (WHERE band = 'LH') AS BIGINT) AS lh, CAST(sum(e) FILTER (WHERE band = 'HH') AS BIGINT) AS hh, CAST(sum(e) FILTER (WHERE band <> 'LL') AS BIGINT) AS energy FROM e GROUP BY frame")
+def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.band_energy(_coefs(spark, sf_dir))
+
+
+@query(f"WITH {_COEF}, q AS (SELECT frame, sum(abs(v)) AS e FROM coef WHERE {_BAND} <> 'LL' GROUP BY frame), r AS (SELECT frame, CAST(e * 10 // (SELECT greatest(1, CAST(sum(e) AS BIGINT) // count(*)) FROM q) AS BIGINT) AS r, frame % 8 AS c, (frame // 8) % 6 AS w FROM q), p AS (SELECT frame, r, r + CASE WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 >= 7 THEN 2 WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 <= 4 THEN -3 ELSE 0 END AS t FROM r) SELECT frame, CASE WHEN t <= 6 THEN 0 WHEN t <= 8 THEN 1 WHEN t <= 12 THEN 2 WHEN t <= 15 THEN 3 ELSE 4 END AS level FROM p")
+def aq_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    energy = B.band_energy(_coefs(spark, sf_dir)).select("frame", "energy")
+    mean = energy.agg(F.greatest(F.lit(1).cast("long"), S.div(F.sum("energy"), F.count("*"))).alias("mean"))
+    return energy.join(F.broadcast(mean)).select("frame", S.aq_level(F.col("energy"), F.col("mean"), F.lit(-1), F.col("frame") % 8, F.expr("(frame div 8) % 6"), 8, 6).alias("level"))
+
+
+# Prediction, runs and tokens
+
+_MED = f"""{_PX},
+n AS (SELECT a.frame, a.y, a.x, a.v, l.v AS l, u.v AS u, c.v AS c FROM px a LEFT JOIN px l ON l.frame = a.frame AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN px u ON u.frame = a.frame AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN px c ON c.frame = a.frame AND c.y = a.y - 1 AND c.x = a.x - 1)"""
+
+
+@query(f"WITH {_MED} SELECT frame, y, x, v - CASE WHEN y = 0 AND x = 0 THEN 0 WHEN y = 0 THEN l WHEN x = 0 THEN u WHEN c >= greatest(l, u) THEN least(l, u) WHEN c <= least(l, u) THEN greatest(l, u) ELSE l + u - c END AS v FROM n")
+def dpcm_med(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(ordered.residuals(tables.blocks(spark, sf_dir)))
+
+
+@query(f"WITH {_PX} SELECT frame, y, x, v FROM px")
+def dpcm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(ordered.from_residuals(ordered.residuals(tables.blocks(spark, sf_dir))))
+
+
+_SPARSE = f"{_QUANT}, sparse AS (SELECT frame, y * 8 + x AS p, CASE WHEN abs(v) < 20 THEN 0 ELSE v END AS v FROM quant)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(_quantised(spark, sf_dir)).select("frame", (F.col("y") * 8 + F.col("x")).alias("p"), F.when(F.abs("v") < 20, 0).otherwise(F.col("v")).alias("v"))
+
+
+@query(f"WITH {_SPARSE}, k AS (SELECT frame, p, v, lag(p) OVER (PARTITION BY frame ORDER BY p) AS q FROM sparse WHERE v <> 0) SELECT frame, p, CAST(p - coalesce(q, -1) - 1 AS INT) AS run, v AS value, CASE WHEN q IS NULL THEN 0 ELSE 1 END AS context FROM k")
+def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.zero_runs(_sparse(spark, sf_dir), "frame", "p", "v")
+
+
+@query(f"WITH {_SPARSE} SELECT frame, p AS position, v AS value FROM sparse WHERE frame IN (SELECT frame FROM sparse WHERE v <> 0)")
+def run_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.expand_runs(ordered.zero_runs(_sparse(spark, sf_dir), "frame", "p", "v"), "frame", "p", 64)
+
+
+_BITS = "(CASE WHEN {v} = 0 THEN 0 ELSE length(bin({v})) END)"
+
+
+@query(f"""WITH {_SERIES}, s AS (SELECT event_id, v - 15000 AS v, abs(v - 15000) AS m, CASE WHEN v < 15000 THEN 1 ELSE 0 END AS g FROM series), b AS (SELECT *, greatest(m - 16, 0) AS r, {_BITS.format(v='greatest(m - 16, 0)')} AS bits FROM s)
+SELECT event_id, v, CAST(CASE WHEN v = 0 THEN 0 WHEN m <= 15 THEN 2 * m - 1 + g ELSE 32 + bits END AS INT) AS token, CAST(CASE WHEN m <= 15 THEN 0 ELSE (CASE WHEN r = 0 THEN 0 ELSE r - (1 << (bits - 1)) END) * 2 + g END AS BIGINT) AS bypass, CAST(CASE WHEN m <= 15 THEN 0 ELSE greatest(bits, 1) END AS INT) AS width, v AS back FROM b""")
+def signed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.series(spark, sf_dir).select("event_id", (F.col("v") - 15000).cast("long").alias("v"))
+    token, bypass, width = S.signed_token(F.col("v"))
+    return rows.select("event_id", "v", token.alias("token"), bypass.alias("bypass"), width.alias("width")).withColumn("back", S.signed_value(F.col("token"), F.col("bypass")))
+
+
+@query(f"""WITH {_SERIES}, b AS (SELECT event_id, v, greatest(v - 32, 0) AS r, {_BITS.format(v='greatest(v - 32, 0)')} AS bits FROM series)
+SELECT event_id, v, CAST(CASE WHEN v < 32 THEN v ELSE 32 + bits END AS INT) AS token, CAST(CASE WHEN r = 0 THEN 0 ELSE r - (1 << (bits - 1)) END AS BIGINT) AS bypass, CAST(greatest(bits - 1, 0) AS INT) AS width, v AS back FROM b""")
+def unsigned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.series(spark, sf_dir).select("event_id", F.col("v").cast("long").alias("v"))
+    token, bypass, width = S.unsigned_token(F.col("v"))
+    return rows.select("event_id", "v", token.alias("token"), bypass.alias("bypass"), width.alias("width")).withColumn("back", S.unsigned_value(F.col("token"), F.col("bypass")))
+
+
+@query(f"WITH {_SERIES} SELECT user_id, event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS lane FROM series")
+def lane_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.lanes(tables.series(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", F.col("lane").cast("int").alias("lane"))
+
+
+# Models
+
+_TOKENS = f"{_SPARSE}, t0 AS (SELECT y AS ctx, abs(v) AS v FROM quant), t AS (SELECT ctx, CAST(CASE WHEN v < 32 THEN v ELSE 32 + {_BITS.format(v='(v - 32)')} END AS INT) AS token FROM t0)"
+_HIST = f"{_TOKENS}, hist AS (SELECT ctx, token, CAST(least(count(*), 65535) AS BIGINT) AS n FROM t GROUP BY ALL)"
+_MODEL = f"""{_HIST},
+grid AS (SELECT c.ctx, g.token, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT ctx FROM hist) c CROSS JOIN (SELECT CAST(unnest(range(64)) AS INT) AS token) g LEFT JOIN hist h ON h.ctx = c.ctx AND h.token = g.token),
+share AS (SELECT ctx, token, n, CASE WHEN n = 0 THEN 1 ELSE greatest(1, ((16384 - count(*) FILTER (WHERE n = 0) OVER w) * n) // CAST(sum(n) OVER w AS BIGINT)) END AS f FROM grid WINDOW w AS (PARTITION BY ctx)),
+model AS (SELECT ctx, token, n, CAST(f + CASE WHEN row_number() OVER (PARTITION BY ctx ORDER BY f DESC, token) = 1 THEN 16384 - sum(f) OVER (PARTITION BY ctx) ELSE 0 END AS BIGINT) AS freq FROM share)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token, _, _ = S.unsigned_token(F.abs("v"))
+    return tables.pixels(_quantised(spark, sf_dir)).select(F.col("y").alias("ctx"), token.alias("token"))
+
+
+@query(f"WITH {_HIST} SELECT ctx, token, n FROM hist")
+def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.histogram(_tokens(spark, sf_dir), "ctx")
+
+
+@query(f"WITH {_MODEL} SELECT ctx, token, freq, CAST(coalesce(sum(freq) OVER (PARTITION BY ctx ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum FROM model")
+def prefix_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.rows_of(models.models(models.histogram(_tokens(spark, sf_dir), "ctx"), "ctx"), "ctx")
+
+
+_LOG = "((length(bin({f})) - 1) * 256 + (({f} - (1 << (length(bin({f})) - 1))) * 256) // (1 << (length(bin({f})) - 1)))"
+
+
+@query(f"""WITH {_MODEL},
+m0 AS (SELECT token, sum(n) AS n FROM grid GROUP BY token),
+m1 AS (SELECT token, n, CASE WHEN n = 0 THEN 1 ELSE greatest(1, CAST((16384 - (SELECT count(*) FROM m0 WHERE n = 0)) * n AS BIGINT) // (SELECT CAST(sum(n) AS BIGINT) FROM m0)) END AS f FROM m0),
+m2 AS (SELECT token, CAST(f + CASE WHEN row_number() OVER (ORDER BY f DESC, token) = 1 THEN 16384 - sum(f) OVER () ELSE 0 END AS BIGINT) AS freq FROM m1),
+hm AS (SELECT 64 + sum(CASE WHEN freq <= 1 THEN 0 WHEN freq < 128 THEN 8 ELSE 16 END) AS bits FROM m2),
+c AS (SELECT a.ctx, CAST(sum(a.n * (3584 - 2048)) AS BIGINT) AS static_cost, CAST(sum(a.n * (3584 - {_LOG.format(f='b.freq')})) + max(hm.bits) * 256 AS BIGINT) AS merged_cost,
+ CAST(sum(a.n * (3584 - {_LOG.format(f='a.freq')})) + (64 + sum(CASE WHEN a.freq <= 1 THEN 0 WHEN a.freq < 128 THEN 8 ELSE 16 END)) * 256 AS BIGINT) AS own_cost FROM model a JOIN m2 b USING (token) CROSS JOIN hm GROUP BY a.ctx)
+SELECT ctx, static_cost, merged_cost, own_cost, CASE WHEN static_cost <= least(merged_cost, own_cost) THEN 'static' WHEN merged_cost <= own_cost THEN 'merged' ELSE 'own' END AS model FROM c""")
+def model_cost_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.choose(models.models(models.histogram(_tokens(spark, sf_dir), "ctx"), "ctx"), "ctx")
+
+
+@query(f"WITH {_MODEL}, cums AS (SELECT token, freq, coalesce(sum(freq) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM model WHERE ctx = 0), {_SERIES} SELECT s.event_id, CAST(s.v % 16384 AS BIGINT) AS slot, c.token FROM series s JOIN cums c ON s.v % 16384 >= c.cum AND s.v % 16384 < c.cum + c.freq")
+def slot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = models.rows_of(models.models(models.histogram(_tokens(spark, sf_dir).where("ctx = 0"), "ctx"), "ctx"), "ctx")
+    slots = tables.series(spark, sf_dir).select("event_id", (F.col("v") % 16384).cast("long").alias("slot"))
+    return models.lookup(slots, found).select("event_id", "slot", "token")
+
+
+# Sequences
+
+_GOP = f"""{_SERIES},
+d AS (SELECT *, coalesce(lag(v) OVER w = v, false) AS is_copy, CASE WHEN coalesce(abs(v - lag(v) OVER w) > {SCENE}, false) THEN 1 ELSE 0 END AS cut FROM series WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scene FROM d),
+p AS (SELECT *, CAST((row_number() OVER (PARTITION BY user_id, scene ORDER BY event_id) - 1) % {INTERVAL} AS INT) AS position FROM s),
+g AS (SELECT *, CAST(sum(CASE WHEN position = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gop FROM p)
+SELECT user_id, event_id, is_copy, position = 0 AS is_key, scene, gop, position, CAST(position % 2 AS INT) AS parity, CAST(first_value(v) OVER (PARTITION BY user_id, gop ORDER BY event_id) AS INT) AS reference FROM g"""
+
+
+@query(f"WITH {_GOP}")
+def gop_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.segments(tables.series(spark, sf_dir), "user_id", "event_id", "v", SCENE, INTERVAL)
+
+
+@query(f"""WITH RECURSIVE {_SERIES}, n AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM series),
+f AS (SELECT user_id, k, m, v AS fast, v AS slow FROM n WHERE k = 1
+ UNION ALL SELECT n.user_id, n.k, n.m, ((CASE WHEN f.fast = 0 THEN n.v ELSE f.fast END) * 4 + n.v) // 5, ((CASE WHEN f.slow = 0 THEN n.v ELSE f.slow END) * 7 + n.v) // 8 FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
+SELECT user_id, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow FROM f WHERE k = m""")
+def ema_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.smoothed(tables.series(spark, sf_dir), "user_id", "event_id", "v")
+
+
+@query(f"WITH {_SERIES}, l AS (SELECT user_id, event_id, CAST(least(v // 5000, 4) AS INT) AS level FROM series), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, level ORDER BY event_id) AS island FROM l) SELECT user_id, CAST(min(k) AS INT) AS start, level, count(*) AS length FROM n GROUP BY user_id, level, island")
+def aq_level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = tables.series(spark, sf_dir).withColumn("level", F.least(F.expr("v div 5000"), F.lit(4)).cast("int"))
+    return ordered.level_runs(levels, "user_id", "event_id", "level")
+
+
+_STEP = 16
+
+
+@query(f"""WITH {_PX}, b AS (SELECT frame * 64 + y * 8 + x AS p, v // 8 AS v FROM px), e AS (SELECT p, v, lag(v, 2) OVER w AS a2, lag(v) OVER w AS a1, lead(v) OVER w AS b1, lead(v, 2) OVER w AS b2, p % 64 AS i FROM b WINDOW w AS (PARTITION BY p // 64 ORDER BY p)),
+r AS (SELECT *, i % 8 = 0 AND i > 0 AND abs(v - a1) < 22 AND abs(a2 - a1) * 2 < 22 AND abs(b1 - v) * 2 < 22 AS right_side, i % 8 = 7 AND i < 63 AND abs(b1 - v) < 22 AND abs(a1 - v) * 2 < 22 AND abs(b2 - b1) * 2 < 22 AS left_side FROM e)
+SELECT p // 64 AS frame, i AS position, CAST(CASE WHEN right_side THEN v - greatest(-11, least(11, (v - a1 + 1) >> 1)) WHEN left_side THEN v + greatest(-11, least(11, (b1 - v + 1) >> 1)) ELSE v END AS BIGINT) AS v FROM r""")
+def deblock_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.blocks(spark, sf_dir).withColumn("coef", F.transform("coef", lambda v: S.div(v, 8)))
+    shift, limit = S.edge_strength(F.lit(_STEP))
+    return rows.select("frame", F.posexplode(ordered.deblock_row(F.col("coef"), 8, shift, limit)).alias("position", "v"))
+
+
+# Frames beside frames
+
+_PAIR = f"{_PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x)"
+
+
+@query(f"""WITH {_PAIR}, cols AS (SELECT frame, x, abs(sum(v) - sum(w)) AS c FROM two GROUP BY frame, x), o AS (SELECT frame, CAST(sum(c) AS BIGINT) // 64 AS occlusion FROM cols GROUP BY frame)
+SELECT frame, CAST(sum(abs(v - w)) AS BIGINT) AS sad, CAST(sum(abs(v - w)) FILTER (WHERE (y * 8 + x) % 4 = 0) * 4 AS BIGINT) // 64 AS fast, max(v) - min(v) AS contrast, any_value(occlusion) AS occlusion FROM two JOIN o USING (frame) GROUP BY frame""")
+def frame_sad_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.frame_differences(tables.blocks(spark, sf_dir))
+
+
+_BEST = f"""{_PX}, offs AS (SELECT k, k // 5 - 2 AS dy, k % 5 - 2 AS dx FROM (SELECT unnest(range(25)) AS k)),
+cost AS (SELECT a.frame, o.k, o.dx, o.dy, sum(abs(a.v - b.v)) AS cost FROM px a CROSS JOIN offs o JOIN px b ON b.frame = a.frame - 1 AND b.y = greatest(0, least(7, a.y + o.dy)) AND b.x = greatest(0, least(7, a.x + o.dx)) GROUP BY ALL),
+best AS (SELECT frame, dx, dy, CAST(cost AS BIGINT) AS cost FROM cost QUALIFY row_number() OVER (PARTITION BY frame ORDER BY cost, k) = 1)"""
+
+
+@query(f"WITH {_BEST} SELECT frame, dx, dy, cost FROM best")
+def motion_best_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.best_offset(tables.blocks(spark, sf_dir))
+
+
+@query(f"WITH {_BEST}, d AS (SELECT frame, dx - coalesce(lag(dx) OVER w, 0) AS mx, dy - coalesce(lag(dy) OVER w, 0) AS my FROM best WINDOW w AS (PARTITION BY frame // 50 ORDER BY frame)) SELECT frame, mx, my, abs(mx) + abs(my) AS penalty FROM d")
+def motion_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.predicted_vectors(search.best_offset(tables.blocks(spark, sf_dir)))
+
+
+# Fidelity: each frame against its coarse reconstruction, as bytes
+
+_BYTES = f"{_QUANT.replace('quant AS', 'q0 AS')}, pairs AS (SELECT p.frame, p.y, p.x, greatest(0, least(255, 128 + p.v // 4)) AS a, greatest(0, least(255, 128 + (p.v + 6) // 16 * 4)) AS b FROM px p)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte = lambda v: F.greatest(F.lit(0).cast("long"), F.least(F.lit(255).cast("long"), v + 128))
+    return tables.blocks(spark, sf_dir).select("frame", F.transform("coef", lambda v: byte(S.div(v, 4))).alias("a"), F.transform("coef", lambda v: byte(S.div(v + 6, 16) * 4)).alias("b"))
+
+
+_PSNR = f"{_BYTES}, psnr AS (SELECT frame, CASE WHEN sum((a - b) * (a - b)) = 0 THEN 100.0 ELSE 10 * log10(65025.0::DOUBLE / (sum((a - b) * (a - b))::DOUBLE / count(*))) END AS psnr FROM pairs GROUP BY frame)"
+
+
+@query(f"WITH {_PSNR} SELECT frame, round(psnr::DOUBLE, 6) AS psnr FROM psnr")
+def psnr_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fidelity.psnr(_pairs(spark, sf_dir)).select("frame", F.round("psnr", 6).alias("psnr"))
+
+
+@query(f"""WITH {_BYTES}, m AS (SELECT frame, avg(a::DOUBLE) AS ma, avg(b::DOUBLE) AS mb, avg((a * a)::DOUBLE) AS qa, avg((b * b)::DOUBLE) AS qb, avg((a * b)::DOUBLE) AS qab FROM pairs GROUP BY frame)
+SELECT frame, round((2 * ma * mb + 6.5025::DOUBLE) * (2 * (qab - ma * mb) + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * ((qa - ma * ma) + (qb - mb * mb) + 58.5225::DOUBLE)), 6) AS ssim FROM m""")
+def ssim_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fidelity.ssim(_pairs(spark, sf_dir)).select("frame", F.round("ssim", 6).alias("ssim"))
+
+
+@query(f"WITH {_BYTES} SELECT frame, CAST(sum(abs(a - b)) AS BIGINT) AS absolute, max(abs(a - b)) AS largest, " + ", ".join(f"count(*) FILTER (WHERE abs(a - b) > {k}) * 1000 // count(*) AS above_{k}" for k in (10, 20, 30)) + " FROM pairs GROUP BY frame")
+def error_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fidelity.errors(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_PSNR}, r AS (SELECT psnr::DOUBLE AS v, row_number() OVER (ORDER BY psnr) - 1 AS r, count(*) OVER () AS n FROM psnr) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS least, round(max(v), 6) AS most, round(stddev_pop(v), 6) AS deviation, round(max(v) FILTER (WHERE r = least(n - 1, floor(n * 0.5))), 6) AS p50, round(max(v) FILTER (WHERE r = least(n - 1, floor(n * 0.9))), 6) AS p90 FROM r")
+def quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fidelity.summary(fidelity.psnr(_pairs(spark, sf_dir)), "psnr")
+
+
+@query(f"WITH {_PSNR} SELECT frame FROM psnr ORDER BY psnr, frame LIMIT 1")
+def worst_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fidelity.worst(fidelity.psnr(_pairs(spark, sf_dir)), "psnr")
+
+
+# Scalar functions over bulk numbers
+
+
+@query(f"""WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice) AS BIGINT) AS p FROM lineitem),
+g AS (SELECT k, n, q, p, q % 10 * 2048 // 9 - 1024 AS cx, p % 7 * 2048 // 6 - 1024 AS cy FROM v)
+SELECT k, n, CAST({_LOG.format(f='p')} AS BIGINT) AS log2, CAST(floor(sqrt(p)) AS BIGINT) AS root, CAST(1024 + least(1024, CAST(floor(sqrt(cx * cx + cy * cy)) AS BIGINT) * 1024 // 1448) * 512 // 1024 AS BIGINT) AS weight, CAST((q - 25 + 1) >> 1 AS BIGINT) AS half FROM g""")
+def integer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"), F.round("l_extendedprice").cast("long").alias("p"))
+    return rows.select("k", "n", S.log2_q8(F.col("p")).alias("log2"), S.isqrt(F.col("p")).alias("root"), S.spatial_weight(F.col("q") % 10, F.col("p") % 7, 10, 7).alias("weight"), S.scale_vector(F.col("q") - 25, 1).alias("half"))
+
+
+_B = "greatest(0, least(255, {}))"
+_RGB = "c AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS BIGINT) * 5 % 256 AS r, CAST(round(l_extendedprice) AS BIGINT) % 256 AS g, CAST(round(l_extendedprice / 256) AS BIGINT) % 256 AS b FROM lineitem)"
+_YCC = f"{_RGB}, y AS (SELECT k, n, {_B.format('(19595 * r + 38470 * g + 7471 * b + 32768) >> 16')} AS y, {_B.format('((-11059 * r - 21709 * g + 32768 * b + 32768) >> 16) + 128')} AS cb, {_B.format('((32768 * r - 27439 * g - 5329 * b + 32768) >> 16) + 128')} AS cr FROM c)"
+
+
+@query(f"WITH {_YCC} SELECT k, n, y, cb, cr, {_B.format('(y * 1024 + 1436 * (cr - 128) + 512) >> 10')} AS r, {_B.format('(y * 1024 - 352 * (cb - 128) - 731 * (cr - 128) + 512) >> 10')} AS g, {_B.format('(y * 1024 + 1815 * (cb - 128) + 512) >> 10')} AS b FROM y")
+def colour_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.round("l_extendedprice").cast("long")
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("long") * 5 % 256).alias("r"), (price % 256).alias("g"), (F.round(F.col("l_extendedprice") / 256).cast("long") % 256).alias("b"))
+    y, cb, cr = S.luma_chroma(F.col("r"), F.col("g"), F.col("b"))
+    planes = rows.select("k", "n", y.alias("y"), cb.alias("cb"), cr.alias("cr"))
+    r, g, b = S.red_green_blue(F.col("y"), F.col("cb"), F.col("cr"))
+    return planes.select("k", "n", "y", "cb", "cr", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+#: Transform, quantise and measure: the flagship is the energy of every band of every block.
+FLAGSHIP = band_energy
