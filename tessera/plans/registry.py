@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import blocks as B
-from tessera.operators import fidelity, models, ordered, search
-from tessera.sources import tables
+from tessera.operators import coding, fidelity, models, ordered, search
+from tessera.sources import container, tables
+from tessera.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,5 +351,59 @@ def colour_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.select("k", "n", "y", "cb", "cr", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+# Streams of packets, coded blocks, live frames
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients from coarse to fine as three layers of big-endian 16-bit numbers; every tenth frame is a key frame."""
+    code = lambda *bands: F.unhex(F.concat_ws("", F.transform(F.filter("coef", lambda v, p: B.band(p).isin(*bands)), lambda v: F.lpad(F.hex(v + 32768), 4, "0"))))
+    frame = F.col("frame")
+    return _coefs(spark, sf_dir).select(
+        F.concat(F.lit("s"), (F.expr("frame div 50")).cast("string")).alias("stream_id"), (frame % 50).cast("long").alias("frame_no"), F.when(frame % 10 == 0, "I").otherwise("P").alias("kind"),
+        F.when(frame % 10 != 0, F.lit(b"\x01\x02")).alias("mvs"), F.when(frame % 10 > 4, F.lit(b"\x7f")).alias("ref_dir"), code("LL").alias("layer0"), code("HL", "LH").alias("layer1"), code("HH").alias("layer2"),
+    )
+
+
+_NUMBERS = f"WITH {_COEF}, c AS (SELECT frame, {_BAND} AS band, y * 8 + x AS p, lpad(hex(v + 32768), 4, '0') AS h FROM coef)"
+
+
+@query(f"{_NUMBERS} SELECT 's' || (frame // 50) AS stream_id, CAST(frame % 50 AS BIGINT) AS frame_no, CASE WHEN frame % 10 = 0 THEN 'I' ELSE 'P' END AS kind, CASE WHEN frame % 10 <> 0 THEN '0102' END AS mvs, CASE WHEN frame % 10 > 4 THEN '7F' END AS ref_dir, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'LL') AS layer0, string_agg(h, '' ORDER BY p) FILTER (WHERE band IN ('HL', 'LH')) AS layer1, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'HH') AS layer2 FROM c GROUP BY frame")
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = container.read_streams(container.write_streams(_packets(spark, sf_dir), 8, 8, 30))
+    return back.select("stream_id", "frame_no", "kind", *(F.hex(p).alias(p) for p in container.PAYLOADS))
+
+
+@query("SELECT count(*) AS frames, CAST(sum(32 + CASE WHEN vec_id % 10 <> 0 THEN 2 ELSE 0 END + CASE WHEN vec_id % 10 > 4 THEN 1 ELSE 0 END) AS BIGINT) AS kept_bytes, count(*) * 96 AS dropped_bytes FROM embeddings")
+def layer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.dropped_bytes(_packets(spark, sf_dir), 0)
+
+
+@query(f"WITH {_QUANT} SELECT frame, y * 8 + x AS position, CAST(CASE WHEN abs(v) < 32 THEN abs(v) ELSE 32 + {_BITS.format(v='(abs(v) - 32)')} END AS INT) AS token FROM quant")
+def entropy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = lambda v: S.unsigned_token(F.abs(v))[0]
+    rows = _quantised(spark, sf_dir).select("frame", F.transform("coef", token).alias("tokens"))
+    counts = models.histogram(rows.select(F.explode("tokens").alias("token")))
+    freqs = models.models(counts.withColumn("one", F.lit(1)), "one").first()["freqs"]  # one row of 64
+    return coding.uncode_blocks(coding.code_blocks(rows, freqs), freqs).select("frame", F.posexplode("tokens").alias("position", "token"))
+
+
+@query(f"WITH g AS ({'WITH ' + _GOP}) SELECT user_id, event_id, is_copy, is_key, scene, gop - 0 AS gop, position FROM g")
+def gop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's groups by state that goes from batch to batch, run to the end of what is there."""
+    events = tables.table(spark, sf_dir, "events")
+    live = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    frames = live.select("user_id", "event_id", F.round(F.col("value") * 100).cast("int").alias("v"))
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/gop-stream-{uuid.uuid4().hex}"
+    run = sessions.stream_sessions(frames, SCENE, INTERVAL).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    run.awaitTermination()
+    return spark.read.schema(sessions.SESSIONS).parquet(f"{folder}/out")
+
+
+@query()
+def rate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ordered.segments(tables.series(spark, sf_dir), "user_id", "event_id", "v", SCENE, INTERVAL).join(tables.series(spark, sf_dir), ["user_id", "event_id"])
+    return sessions.rate_steps(groups.select("user_id", "event_id", "is_key", F.abs(F.col("v") - F.col("reference")).alias("sad")), 1_000_000, 30, INTERVAL, 16)
+
+
 #: Transform, quantise and measure: the flagship is the energy of every band of every block.
 FLAGSHIP = band_energy
