@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node that has an edge to another; label is the component's smallest node.
 
     ``edges`` has the columns a and b. Each round does one hooking (every node takes its smallest neighbour)
-    and contracts the graph to the hooks' targets, so a star or a chain of any length shrinks at least by half.
+    twice) and contracts the graph to the hooks' targets. A star is done after one round. Of a chain whose nodes are in random
+    order, as fingerprints are, less than half of the nodes stay each round, so rounds grow with the logarithm of the longest chain.
     """
     live = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     levels: list[DataFrame] = []
