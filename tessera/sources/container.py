@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: the magic, the header after its two length bytes, and the frame kinds.
-MAGIC = b"VEVC"
+MAGIC = bytes((0x56, 0x45, 0x56, 0x43))
 HEADER = struct.Struct(">BHHBHBB")
 KINDS = {"P": 0, "COPY": 1, "I": 2}
 HAS_DIRECTIONS = 0x10
