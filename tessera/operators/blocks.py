@@ -94,3 +94,34 @@ def band_energy(blocks: DataFrame) -> DataFrame:
     """Sum of magnitudes in each high band and in all, by block."""
     total = lambda *bands: F.aggregate(_where(F.col("coef"), bands), F.lit(0).cast("long"), lambda s, v: s + F.abs(v))
     return blocks.select("frame", total("HL").alias("hl"), total("LH").alias("lh"), total("HH").alias("hh"), total("HL", "LH", "HH").alias("energy"))
+
+
+def step_table(bases: DataFrame) -> DataFrame:
+    """(base, layer, chroma) -> steps and dead zones of the low, middle and high bands. Finer layers have coarser steps; chroma's are capped lower, and its dead zones are wider."""
+    base, layer, chroma = F.col("base"), F.col("layer"), F.col("chroma")
+    bound = lambda v, cap: F.least(F.lit(cap).cast("long"), F.greatest(F.lit(1).cast("long"), v))
+    middle = F.when(layer == 2, base).otherwise(S.div(base, 2))
+    high = F.when(layer == 2, S.div(base * 5, 4)).when(layer == 1, base).otherwise(S.div(base * 3, 4))
+    low = F.when(layer == 2, base).when(layer == 1, S.div(base, 6)).otherwise(S.div(base, 8))
+    pick = lambda a, b, c: F.when(layer == 0, a).when(layer == 1, b).otherwise(c)
+    return bases.select(
+        "base", "layer", "chroma",
+        F.when(chroma, bound(S.div(base, 8), 16)).otherwise(bound(low, 16)).alias("low"),
+        F.when(chroma, bound(middle, 24)).otherwise(bound(middle, 48)).alias("middle"),
+        F.when(chroma, bound(high, 48)).otherwise(bound(high, 64)).alias("high"),
+        F.when(chroma, pick(-8000, -16000, -32000)).otherwise(pick(16384, 8192, 0)).alias("middle_zone"),
+        F.when(chroma, pick(-16000, -32000, -64000)).otherwise(pick(8192, 0, -8000)).alias("high_zone"),
+    )
+
+
+def decimate(coef: Column, side: int = 8) -> Column:
+    """The samples at even rows and columns, signed around 128: full chroma to a quarter."""
+    return F.transform(F.filter(coef, lambda v, p: (p % 2 == 0) & (S.div(p, side) % 2 == 0)), lambda v: v - 128)
+
+
+def skip_limits(rows: DataFrame, step: int, cols: int, grid: int, limit: int) -> DataFrame:
+    """Adds the zero limit by place, halved in moving or uncovered blocks, and whether a block's change is too small to code."""
+    weight = S.spatial_weight(F.col("col"), F.col("row"), cols, grid)
+    moving = (F.col("sad") >= 1500) | (F.col("occlusion") >= 2)
+    near = S.div(weight * limit, 1024)
+    return rows.withColumn("limit", F.when(moving, F.greatest(F.lit(1).cast("long"), S.div(near, 2))).otherwise(near)).withColumn("skipped", F.col("sad") < S.div(weight * (150 * min(step, 256) // 48), 1024))

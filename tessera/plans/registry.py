@@ -115,6 +115,36 @@ def aq_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energy.join(F.broadcast(mean)).select("frame", S.aq_level(F.col("energy"), F.col("mean"), F.lit(-1), F.col("frame") % 8, F.expr("(frame div 8) % 6"), 8, 6).alias("level"))
 
 
+@query("WITH b AS (SELECT b.base, l.layer, c.chroma FROM (SELECT DISTINCT p_size * 7 AS base FROM part) b, (SELECT unnest([0, 1, 2]) AS layer) l, (SELECT unnest([false, true]) AS chroma) c), m AS (SELECT *, CASE layer WHEN 2 THEN base ELSE base // 2 END AS mid, CASE layer WHEN 2 THEN base * 5 // 4 WHEN 1 THEN base ELSE base * 3 // 4 END AS hi, CASE layer WHEN 2 THEN base WHEN 1 THEN base // 6 ELSE base // 8 END AS lo FROM b) SELECT base, layer, chroma, CAST(CASE WHEN chroma THEN least(16, greatest(1, base // 8)) ELSE least(16, greatest(1, lo)) END AS BIGINT) AS low, CAST(least(CASE WHEN chroma THEN 24 ELSE 48 END, greatest(1, mid)) AS BIGINT) AS middle, CAST(least(CASE WHEN chroma THEN 48 ELSE 64 END, greatest(1, hi)) AS BIGINT) AS high, CASE WHEN chroma THEN [-8000, -16000, -32000][layer + 1] ELSE [16384, 8192, 0][layer + 1] END AS middle_zone, CASE WHEN chroma THEN [-16000, -32000, -64000][layer + 1] ELSE [8192, 0, -8000][layer + 1] END AS high_zone FROM m")
+def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bases = tables.table(spark, sf_dir, "part").select((F.col("p_size") * 7).alias("base")).distinct()
+    every = bases.withColumn("layer", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("chroma", F.explode(F.array(F.lit(False), F.lit(True))))
+    return B.step_table(every)
+
+
+@query(f"WITH {_PX} SELECT frame, CAST(y // 2 * 4 + x // 2 AS INT) AS position, v - 128 AS v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
+def plane_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = tables.blocks(spark, sf_dir).select("frame", F.posexplode(B.decimate(F.col("coef"))).alias("position", "v"))
+    return small.select("frame", "position", F.col("v").cast("long").alias("v"))
+
+
+_DIFF = f"{_PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x), s AS (SELECT frame, CAST(sum(abs(v - w)) AS BIGINT) // 8 AS sad FROM two GROUP BY frame), o AS (SELECT frame, CAST(sum(c) AS BIGINT) // 64 AS occlusion FROM (SELECT frame, x, abs(sum(v) - sum(w)) AS c FROM two GROUP BY frame, x) GROUP BY frame)"
+
+
+@query(f"WITH {_DIFF}, w AS (SELECT s.frame, s.sad, o.occlusion, frame % 8 * 2048 // 7 - 1024 AS cx, frame // 8 % 6 * 2048 // 5 - 1024 AS cy FROM s JOIN o USING (frame)), k AS (SELECT *, 1024 + least(1024, CAST(floor(sqrt(cx * cx + cy * cy)) AS BIGINT) * 1024 // 1448) * 512 // 1024 AS weight FROM w) SELECT frame, CAST(CASE WHEN sad >= 1500 OR occlusion >= 2 THEN greatest(1, weight * 8 // 1024 // 2) ELSE weight * 8 // 1024 END AS BIGINT) AS \"limit\", sad < weight * 150 // 1024 AS skipped FROM k")
+def skip_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.frame_differences(tables.blocks(spark, sf_dir)).select("frame", S.div(F.col("sad"), 8).alias("sad"), "occlusion", (F.col("frame") % 8).alias("col"), F.expr("frame div 8 % 6").alias("row"))
+    return B.skip_limits(rows, 48, 8, 6, 8).select("frame", "limit", "skipped")
+
+
+@query(f"WITH {_PX}, keep AS (SELECT vec_id AS frame FROM embeddings WHERE label = (SELECT min(label) FROM embeddings)) SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM px WHERE frame IN (SELECT frame FROM keep) GROUP BY frame")
+def frame_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "embeddings")
+    least = rows.agg(F.min("label").alias("least"))
+    keep = rows.join(F.broadcast(least), F.col("label") == F.col("least"), "left_semi").select(F.col("vec_id").alias("frame"))
+    return tables.blocks(spark, sf_dir).join(keep, "frame", "left_semi").select("frame", F.aggregate("coef", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+
+
 # Prediction, runs and tokens
 
 _MED = f"""{_PX},
