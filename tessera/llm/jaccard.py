@@ -112,8 +112,16 @@ def _entries(width: int, n: int):
     return run
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: for each class the tokens of this bucket that another class has too, and in how many classes they are."""
+def _shared(n: int):
+    """Reduce side: for each class the tokens of a bucket that another class has too, and in how many classes they are, packed by the class's own bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _shared_of(batches, n)
+
+    return run
+
+
+def _shared_of(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
         for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("b", "classes", "sizes", "counts", "tokens")), strict=True):
@@ -141,35 +149,47 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.diff(np.append(begins, len(tokens)))
         df = np.repeat(spread, spread)
         tokens, owner, df = tokens[df > 1], owner[df > 1], df[df > 1]
+        if not len(tokens):
+            continue
         order = np.argsort(owner, kind="stable")
-        tokens, owner, df = tokens[order], owner[order], np.minimum(df[order], (1 << 31) - 1).astype(np.int32)
-        for lo in range(0, len(names), 4096):
-            some = np.arange(lo, min(lo + 4096, len(names)))
-            cut_at = np.searchsorted(owner, np.append(some, some[-1] + 1))
-            has = np.diff(cut_at) > 0
-            rows = [(names[k], int(sizes_of[k]), tokens[i:j].tobytes(), df[i:j].tobytes()) for k, i, j in zip(some[has].tolist(), cut_at[:-1][has].tolist(), cut_at[1:][has].tolist(), strict=True)]
-            if rows:
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["class", "n", "tokens", "df"])
+        tokens, owner, df = tokens[order], owner[order], np.minimum(df[order], np.iinfo(np.uint16).max).astype(np.uint16)
+        kept, begins, counts = np.unique(owner, return_index=True, return_counts=True)
+        # all of a class goes to one bucket of the next exchange, many classes a row
+        target = T.buckets(T.mix(names[kept].view(np.uint64)), n)
+        by = np.argsort(target, kind="stable")
+        edge = np.searchsorted(target[by], np.arange(n + 1))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            some = by[edge[c] : edge[c + 1]]
+            take, _ = T.ragged(bounds, some)
+            yield pa.RecordBatch.from_pydict({"b": pa.array([c], pa.int32()), "classes": [names[kept[some]].tobytes()], "sizes": [sizes_of[kept[some]].tobytes()], "counts": [counts[some].astype(np.int32).tobytes()], "tokens": [tokens[take].tobytes()], "dfs": [df[take].tobytes()]})
 
 
 def _survivors(percent: int):
-    """Of each class's gathered tokens: drop the class if too few are shared; order the rest from rare to common, and find how many are in its prefix."""
+    """Gathers each class's shared tokens: drops the class if they are too few; orders the rest from rare to common, and finds how many are in its prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, n, tokens, dfs in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "tokens", "df")), strict=True):
-                tokens, df = (np.frombuffer(b"".join(x), kind) for x, kind in ((tokens, np.uint64), (dfs, np.int32)))
-                least = -(-percent * n // 100)
-                if len(tokens) >= least:
-                    order = np.lexsort((tokens, df))
-                    tokens = tokens[order]
-                    # all tokens that are in one class only come first in the order of the whole set
-                    prefix = n - least + 1 - (n - len(tokens))
-                    rows.append((name, n, prefix, tokens.tobytes(), df[order][:prefix].astype(np.int32).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["class", "n", "prefix", "tokens", "df"])
+        held = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("classes", "sizes", "counts", "tokens", "dfs")), strict=True)]
+        if not held:
+            return
+        classes, sizes, counts, tokens, dfs = (np.concatenate([np.frombuffer(x, kind) for x in column]) for column, kind in zip(zip(*held, strict=True), (np.int64, np.int32, np.int32, np.uint64, np.uint16), strict=True))
+        held.clear()
+        names, first, index = np.unique(classes, return_index=True, return_inverse=True)
+        n = sizes[first].astype(np.int64)
+        owner = np.repeat(index, counts)
+        least, has = -(-percent * n // 100), np.bincount(owner, minlength=len(names))
+        good = has >= least
+        keep = good[owner]
+        tokens, dfs, owner = tokens[keep], dfs[keep], owner[keep]
+        order = np.lexsort((tokens, dfs, owner))
+        tokens, owner = tokens[order], owner[order]
+        edge = np.searchsorted(owner, np.arange(len(names) + 1))
+        # all tokens that are in one class only come first in the order of the whole set
+        prefix = has - least + 1
+        chosen = np.flatnonzero(good)
+        for lo in range(0, len(chosen), 1024):
+            some = chosen[lo : lo + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(n[some]), pa.array(prefix[some].astype(np.int32)), pa.array([tokens[edge[k] : edge[k + 1]].tobytes() for k in some.tolist()], pa.binary())], ["class", "n", "prefix", "tokens"])
 
     return run
 
@@ -274,9 +294,8 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> Dat
     n = tasks(docs, 2)
     percent = config.percent
     entries = docs.mapInArrow(_entries(config.width, n), "b int, classes binary, sizes binary, counts binary, tokens binary").repartitionById(n, "b")
-    shared = entries.mapInArrow(_shared, "class long, n long, tokens binary, df binary")
-    gathered = shared.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "df")).alias("all")).where(F.expr(f"100 * aggregate(all, 0L, (s, x) -> s + octet_length(x.tokens) div 8) >= {percent} * n"))
-    alive = cut(gathered.select("class", "n", F.col("all.tokens").alias("tokens"), F.col("all.df").alias("df")).mapInArrow(_survivors(percent), "class long, n long, prefix int, tokens binary, df binary").drop("df"))
+    shared = entries.mapInArrow(_shared(n), "b int, classes binary, sizes binary, counts binary, tokens binary, dfs binary").repartitionById(n, "b")
+    alive = cut(shared.mapInArrow(_survivors(percent), "class long, n long, prefix int, tokens binary"))
 
     edges = None
     for turn in range(config.rounds):
