@@ -44,7 +44,7 @@ class JaccardConfig:
     width: int = 5
     percent: int = 75  #: 100 * intersection >= percent * union links two documents
     group_size: int = 256  #: members of a group at most; larger ones are split
-    rounds: int = 2  #: groupings before the matrix is built
+    rounds: int = 2  #: groupings before the matrix is built, each by another key
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -264,7 +264,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, lengths = batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist()
         parts = [np.frombuffer(x, np.int64, count=k) for x, k in zip(blobs, lengths, strict=True)]
         rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("class", "n", "label", "part")), pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["class", "n", "label", "part", "token"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("class", "n", "label", "part", "members")), pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["class", "n", "label", "part", "members", "token"])
 
 
 def _verify(percent: int):
@@ -313,12 +313,14 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> Dat
 
     placed = alive.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     count = placed.groupBy("label").agg(F.count("*").alias("members"))
-    placed = cut(placed.join(count, "label").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / config.group_size).cast("long"))).drop("members"))
-    rows = placed.select("class", "n", "label", "part", "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, part long, token long")
+    placed = cut(placed.join(count, "label").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / config.group_size).cast("long"))))
+    rows = placed.select("class", "n", "label", "part", "members", "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, part long, members long, token long")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rows = cut(rows.join(mixed, "token"))
-    matrix = rows.groupBy("token", "label", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = rows.select("token", "class", "n", F.col("label").alias("own")).join(matrix, "token").where(f"own <> label and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
+    matrix = rows.groupBy("token", "label", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"))
+    # of two components the smaller asks and the larger answers, so a few strays beside a large component meet its groups, and it doesn't ask for each of them
+    asked = "(own_members < members or own_members = members and own < label)"
+    met = rows.select("token", "class", "n", F.col("label").alias("own"), F.col("members").alias("own_members")).join(matrix, "token").where(f"{asked} and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
     # a member of m elements shares at most the counted tokens and what follows the shorter prefix; it must lie within the size bounds
     low = f"greatest(least, ceil({percent} * n / 100.0))"
     bound = met.groupBy("class", "n", "own", "label", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most")).where(
