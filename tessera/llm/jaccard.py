@@ -342,9 +342,10 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     docs = documents(docs)
     named = cut(shingle_classes(docs, config.width))
     links = class_links(docs, config)
-    classes = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     labelled = classes.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    # a document alone in its component is its own smallest
+    roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all")).where("all > 1").drop("all")
     found = cut(labelled.join(roots, "label").select("class", "component_id"))
     # a hot class meets its one row in many parts: salt both sides
     salts = 16
