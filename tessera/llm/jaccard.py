@@ -37,6 +37,8 @@ from .components import components
 FLUSH_BYTES = 16 << 20
 #: Classes that one task holds against a group.
 QUERIES_A_TASK = 4096
+#: Components of up to a group's size over this share groups with others.
+SMALL_SHARE = 8
 
 
 @dataclass(frozen=True)
@@ -259,31 +261,41 @@ def _open(percent: int):
     return run
 
 
+#: What a query and a group's row carry.
+QUERY = ("class", "n", "label", "group", "part", "members", "small")
+
+
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs, lengths = batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist()
         parts = [np.frombuffer(x, np.int64, count=k) for x, k in zip(blobs, lengths, strict=True)]
         rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("class", "n", "label", "part", "members")), pa.array(np.concatenate(parts) if parts else [], pa.int64())], ["class", "n", "label", "part", "members", "token"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in QUERY), pa.array(np.concatenate(parts) if parts else [], pa.int64())], [*QUERY, "token"])
+
+
+def _commonest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last token in the order from rare to common."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([int(np.frombuffer(x, np.int64)[-1]) for x in batch.column("tokens").to_pylist()], pa.int64())], ["class", "token"])
 
 
 def _verify(percent: int):
-    """One group's members against the queries that its bound left; (class, member) links, the smallest member of each is enough."""
+    """One group's members against the queries that its bound left: a link to one member of each component that the query links with."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
         asks = table.column("asks")
         group, queries = table.filter(pc.invert(asks)), table.filter(asks)
         if group.num_rows and queries.num_rows:
-            names, sizes = (np.array(group.column(c).to_pylist(), np.int64) for c in ("class", "n"))
+            names, sizes, labels = (np.array(group.column(c).to_pylist(), np.int64) for c in ("class", "n", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
             tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            for name, n, blob in zip(*(queries.column(c).to_pylist() for c in ("class", "n", "tokens")), strict=True):
+            for name, n, label, blob in zip(*(queries.column(c).to_pylist() for c in ("class", "n", "label", "tokens")), strict=True):
                 found = _overlaps(np.sort(np.frombuffer(blob, np.uint64)), tokens, owner, len(sets))
-                hits = names[100 * found >= percent * (sizes + n - found)]
-                if len(hits):
-                    a.append(name)
-                    b.append(int(hits.min()))
+                hits = np.flatnonzero((100 * found >= percent * (sizes + n - found)) & (labels != label))
+                _, first = np.unique(labels[hits], return_index=True)
+                a += [name] * len(first)
+                b += names[hits[first]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -313,27 +325,34 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> Dat
 
     placed = alive.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     count = placed.groupBy("label").agg(F.count("*").alias("members"))
-    placed = cut(placed.join(count, "label").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / config.group_size).cast("long"))))
-    rows = placed.select("class", "n", "label", "part", "members", "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, part long, members long, token long")
+    # small components share groups with others that have the same commonest token; large ones have groups of their own
+    small = F.col("members") * SMALL_SHARE <= config.group_size
+    placed = placed.join(count, "label").withColumn("small", small)
+    keyed = placed.mapInArrow(_commonest, "class long, token long")
+    placed = placed.join(keyed, "class").withColumn("group", F.when(F.col("small"), F.xxhash64("token")).otherwise(F.xxhash64("label", F.lit(1)))).drop("token")
+    crowd = placed.groupBy("group").agg(F.ceil(F.count("*") / config.group_size).cast("long").alias("parts"))
+    placed = cut(placed.join(crowd, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts"))
+    rows = placed.select(*QUERY, "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, group long, part long, members long, small boolean, token long")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rows = cut(rows.join(mixed, "token"))
-    matrix = rows.groupBy("token", "label", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"))
-    # of two components the smaller asks and the larger answers, so a few strays beside a large component meet its groups, and it doesn't ask for each of them
-    asked = "(own_members < members or own_members = members and own < label)"
-    met = rows.select("token", "class", "n", F.col("label").alias("own"), F.col("members").alias("own_members")).join(matrix, "token").where(f"{asked} and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
+    matrix = rows.groupBy("token", "group", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"), F.first("small").alias("small"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    asking = rows.select("token", "class", "n", F.col("label").alias("own"), F.col("members").alias("own_members"), F.col("small").alias("own_small"), F.col("group").alias("own_group"), F.col("part").alias("own_part"))
+    # each two classes of different components meet once: of two shared groups the first one's classes ask; small components ask large ones, and of two large ones the smaller asks
+    once = "case when own_small and small then own_group < group or own_group = group and own_part <= part when small then false when own_small then true else own_members < members or own_members = members and own < lo end"
+    met = asking.join(matrix, "token").where(f"(own <> lo or own <> hi) and {once} and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
     # a member of m elements shares at most the counted tokens and what follows the shorter prefix; it must lie within the size bounds
     low = f"greatest(least, ceil({percent} * n / 100.0))"
-    bound = met.groupBy("class", "n", "own", "label", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most")).where(
+    bound = met.groupBy("class", "n", "group", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most")).where(
         f"hits + greatest(ceil({percent} * n / 100.0), ceil({percent} * least(most, floor(100.0 * n / {percent})) / 100.0)) - 1 >= ceil({percent} * (n + {low}) / {100 + percent}.0)"
     )
-    bound = cut(bound.select("label", "part", "class"))
+    bound = cut(bound.select("group", "part", "class"))
     # a group that many classes ask for is opened in several tasks, each with some of them
-    wanted = bound.groupBy("label", "part").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("long").alias("chunks"))
-    groups = placed.join(wanted, ["label", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    asking = bound.join(wanted, ["label", "part"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(alive.select("class", "n", "tokens"), "class")
-    columns = ("label", "part", "chunk", "class", "n", "tokens")
+    wanted = bound.groupBy("group", "part").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("long").alias("chunks"))
+    groups = placed.join(wanted, ["group", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    asking = bound.join(wanted, ["group", "part"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(placed.select("class", "n", "label", "tokens"), "class")
+    columns = ("group", "part", "chunk", "class", "n", "label", "tokens")
     both = groups.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
-    more = both.groupBy("label", "part", "chunk").applyInArrow(_verify(percent), "a long, b long")
+    more = both.groupBy("group", "part", "chunk").applyInArrow(_verify(percent), "a long, b long")
     return components(edges.unionByName(more))
 
 
