@@ -12,6 +12,9 @@
 
 Tokens are ordered from rare to common, so a passage that many documents share is in no prefix unless it
 is most of the document. No step lists all pairs of a group; verified links become edges of a forest.
+For the number of links (``jaccard_links``) the classes ask all groups, those of their own component and their own
+group too. Every class sits in one part of one group, so each pair that links is met once, verified there, and
+added up by class, each partner with as many as its copies.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as its only shingle; repeated rows and equal
@@ -279,35 +282,50 @@ def _commonest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([int(np.frombuffer(x, np.int64)[-1]) for x in batch.column("tokens").to_pylist()], pa.int64())], ["class", "token"])
 
 
-def _verify(percent: int):
-    """One group's members against the queries that its bound left: a link to one member of each component that the query links with."""
+def _verify(percent: int, count: bool):
+    """One group's members against the queries that its bound left: an edge (a, b) to one member of each component that the query links with.
+    With ``count``, also a row (a, null, n) for each class with links here: the copies of all its partners."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, n_links = [], [], []
         asks = table.column("asks")
         group, queries = table.filter(pc.invert(asks)), table.filter(asks)
         if group.num_rows and queries.num_rows:
             names, sizes, labels = (np.array(group.column(c).to_pylist(), np.int64) for c in ("class", "n", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
             tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            for name, n, label, blob in zip(*(queries.column(c).to_pylist() for c in ("class", "n", "label", "tokens")), strict=True):
+            copies, links, asked = np.array(group.column("copies").to_pylist(), np.int64), np.zeros(len(sets), np.int64), {}
+            for name, n, label, blob, own, inside in zip(*(queries.column(c).to_pylist() for c in ("class", "n", "label", "tokens", "copies", "inside")), strict=True):
                 found = _overlaps(np.sort(np.frombuffer(blob, np.uint64)), tokens, owner, len(sets))
-                hits = np.flatnonzero((100 * found >= percent * (sizes + n - found)) & (labels != label))
+                linked = 100 * found >= percent * (sizes + n - found)
+                hits = np.flatnonzero(linked & (labels != label))
                 _, first = np.unique(labels[hits], return_index=True)
                 a += [name] * len(first)
                 b += names[hits[first]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                if count:
+                    # both of a pair inside the group may ask: the smaller one counts it
+                    hits = np.flatnonzero(linked & (names > name)) if inside else np.flatnonzero(linked)
+                    links[hits] += own
+                    if len(hits):
+                        asked[name] = int(copies[hits].sum())
+            some = np.flatnonzero(links)
+            n_links = [None] * len(a) + links[some].tolist() + list(asked.values())
+            a += names[some].tolist() + list(asked)
+            b += [None] * (len(some) + len(asked))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n_links, pa.int64())})
 
     return run
 
 
-def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """(node, label): the components of the classes that link with another class."""
+def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(node, label), the components of the classes that link with another class; and with ``copies``, (class, copies), the links of each
+    class that has any: (class, n_links), the copies of all its partners."""
     n = tasks(docs, 2)
     percent = config.percent
     entries = docs.mapInArrow(_entries(config.width, n), "b int, classes binary, sizes binary, counts binary, tokens binary").repartitionById(n, "b")
     shared = entries.mapInArrow(_shared(n), "b int, classes binary, sizes binary, counts binary, tokens binary, dfs binary").repartitionById(n, "b")
     alive = cut(shared.mapInArrow(_survivors(percent), "class long, n long, prefix int, tokens binary"))
+    alive = alive.withColumn("copies", F.lit(1).cast("long")) if copies is None else cut(alive.join(copies, "class"))
 
     edges = None
     for turn in range(config.rounds):
@@ -333,13 +351,15 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> Dat
     crowd = placed.groupBy("group").agg(F.ceil(F.count("*") / config.group_size).cast("long").alias("parts"))
     placed = cut(placed.join(crowd, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts"))
     rows = placed.select(*QUERY, "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, group long, part long, members long, small boolean, token long")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("crowd")).where("lo < hi" if copies is None else "crowd > 1").select("token")
     rows = cut(rows.join(mixed, "token"))
-    matrix = rows.groupBy("token", "group", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"), F.first("small").alias("small"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    matrix = rows.groupBy("token", "group", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"), F.first("small").alias("small"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("crowd"))
     asking = rows.select("token", "class", "n", F.col("label").alias("own"), F.col("members").alias("own_members"), F.col("small").alias("own_small"), F.col("group").alias("own_group"), F.col("part").alias("own_part"))
     # each two classes of different components meet once: of two shared groups the first one's classes ask; small components ask large ones, and of two large ones the smaller asks
-    once = "case when own_small and small then own_group < group or own_group = group and own_part <= part when small then false when own_small then true else own_members < members or own_members = members and own < lo end"
-    met = asking.join(matrix, "token").where(f"(own <> lo or own <> hi) and {once} and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
+    # where links are counted, so do those of one component, and a class asks its own part if that has others with the token
+    once = "case when own_small and small then own_group < group or own_group = group and own_part <= part when small then false when own_small then true else own_members < members or own_members = members and (own < lo or own = lo and own_part <= part) end"
+    others = "(own <> lo or own <> hi)" if copies is None else "(crowd > 1 or own_group <> group or own_part <> part)"
+    met = asking.join(matrix, "token").where(f"{others} and {once} and 100 * least <= 100 * 100 * n div {percent} and 100 * most >= {percent} * n")
     # a member of m elements shares at most the counted tokens and what follows the shorter prefix; it must lie within the size bounds
     low = f"greatest(least, ceil({percent} * n / 100.0))"
     bound = met.groupBy("class", "n", "group", "part").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most")).where(
@@ -349,24 +369,45 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> Dat
     # a group that many classes ask for is opened in several tasks, each with some of them
     wanted = bound.groupBy("group", "part").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("long").alias("chunks"))
     groups = placed.join(wanted, ["group", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    asking = bound.join(wanted, ["group", "part"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(placed.select("class", "n", "label", "tokens"), "class")
-    columns = ("group", "part", "chunk", "class", "n", "label", "tokens")
-    both = groups.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
-    more = both.groupBy("group", "part", "chunk").applyInArrow(_verify(percent), "a long, b long")
-    return components(edges.unionByName(more))
+    home = placed.select("class", "n", "label", "copies", "tokens", F.col("group").alias("own_group"), F.col("part").alias("own_part"))
+    asking = bound.join(wanted, ["group", "part"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks"))).join(home, "class").withColumn("inside", F.expr("own_group = group and own_part = part"))
+    columns = ("group", "part", "chunk", "class", "n", "label", "copies", "tokens")
+    both = groups.select(*columns, F.lit(False).alias("inside"), F.lit(False).alias("asks")).unionByName(asking.select(*columns, "inside", F.lit(True).alias("asks")))
+    more = both.groupBy("group", "part", "chunk").applyInArrow(_verify(percent, copies is not None), "a long, b long, n long")
+    if copies is None:
+        return components(edges.unionByName(more.select("a", "b"))), None
+    more = cut(more)
+    links = more.where("n is not null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
+    return components(edges.unionByName(more.where("n is null").select("a", "b"))), links
 
 
 def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """(doc_id, n_shingles, class, component_id) for every row; component_id is the smallest doc_id reachable by links, itself included."""
+    return _joined(docs, config, False)
+
+
+def jaccard_links(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """The same with n_links, the number of other rows that a row links with; those with the same set are among them."""
+    return _joined(docs, config, True)
+
+
+def _joined(docs: DataFrame, config: JaccardConfig, count: bool) -> DataFrame:
     docs = documents(docs)
     named = cut(shingle_classes(docs, config.width))
-    links = class_links(docs, config)
+    copies = cut(named.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"))) if count else None
+    links, n_links = class_links(docs, config, copies)
     classes = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     labelled = classes.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     # a document alone in its component is its own smallest
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("all")).where("all > 1").drop("all")
-    found = cut(labelled.join(roots, "label").select("class", "component_id"))
+    found = labelled.join(roots, "label").select("class", "component_id", "rows")
+    if n_links is not None:
+        # a class without partners in its component links with its own copies only
+        found = found.join(n_links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")) + F.col("rows") - 1)
+    found = cut(found.drop("rows"))
     # a hot class meets its one row in many parts: salt both sides
     salts = 16
     many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(many, ["class", "salt"], "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(many, ["class", "salt"], "left")
+    own = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count else []
+    return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"), *own)

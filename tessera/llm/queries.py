@@ -18,7 +18,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_documents(spark, sf_dir)).drop("class")
+    return jaccard.jaccard_links(_documents(spark, sf_dir))
 
 
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

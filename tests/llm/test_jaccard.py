@@ -50,3 +50,26 @@ def test_chains_stars_and_loops(spark):
     edges = list(zip(chain, chain[1:], strict=False)) + [(100, k) for k in range(101, 130)] + [(5, 5), (None, 3), (200, 201), (200, 201)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {200: 200, 201: 200}
+
+
+def _links(rows):
+    sets = [brute.shingles(t) for _, t in rows]
+    return {i: sum(bool(s) and 100 * len(s & t) >= 75 * len(s | t) for k, t in enumerate(sets) if k != at) for at, ((i, _), s) in enumerate(zip(rows, sets, strict=True))}
+
+
+def test_every_link_is_counted(spark):
+    rng = random.Random(4)
+    base = [f"v{k}" for k in range(120)]
+    close = []  # 70 different texts, most of which link with each other, in parts of large groups
+    for k in range(70):
+        words = list(base)
+        words[rng.randrange(120)] = f"z{k}"
+        close += [" ".join(words)] * rng.choice([1, 1, 3])
+    texts = [t for _, t in _rows()] + close
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, "clash", t) for i, t in rows], "doc_id long, n_links string, text string")
+    want, sets = _links(rows), brute.jaccard_components(rows)
+    for config in ({"group_size": 8}, {"group_size": 4, "rounds": 1}, {}):
+        got = jaccard.jaccard_links(docs, jaccard.JaccardConfig(**config)).collect()
+        assert {r.doc_id: r.n_links for r in got} == want
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == sets
