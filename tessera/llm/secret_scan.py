@@ -28,7 +28,7 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _HINTS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-_KEY = re.compile(rb"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])")
+_KEY = re.compile(rb"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])")
 _ENDPOINT = re.compile(rb"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%+-]*)?|\b[a-z0-9.-]+\.(?:amazonaws\.com|digitaloceanspaces\.com|wasabisys\.com)\b")
 _HEX = np.zeros(256, bool)
 _HEX[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
@@ -36,24 +36,30 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 
 def _near(spans: np.ndarray, others: np.ndarray, scope: int) -> np.ndarray:
-    """Which of the sorted, disjoint spans have one of the others, sorted and disjoint, in ``scope`` bytes around them."""
+    """Which of the sorted, disjoint spans have one of the others, sorted and disjoint, in ``scope`` around them."""
     if not len(others):
         return np.zeros(len(spans), bool)
     first = np.searchsorted(others[:, 1], spans[:, 0] - scope, "left")
     return (first < len(others)) & (others[np.minimum(first, len(others) - 1), 0] <= spans[:, 1] + scope)
 
 
-def _linked(text: bytes, access: list[tuple[int, int]], scope: int) -> list[tuple[int, int, int]]:
-    """Weak candidates whose other parts are in scope: (kind, start, end)."""
-    ids = np.array(access, np.int64).reshape(-1, 2)
+def _linked(text: bytes, access: list[tuple[int, int]], scope: int, points: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """Weak candidates whose other parts are in scope, counted in code points: (kind, start, end), in bytes. ``points`` has the code points before each byte, where they differ."""
+    at = (lambda spans: spans) if points is None else (lambda spans: points[spans])
+    ids = at(np.array(access, np.int64).reshape(-1, 2))
     keys = [m.span() for m in _KEY.finditer(text) if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Z]", m[0]) and re.search(rb"[a-z]", m[0])]
     keys = np.array(keys, np.int64).reshape(-1, 2)
-    keys = keys[_near(keys, ids, scope)]
+    keys = keys[_near(at(keys), ids, scope)]
     ends = np.array([m.span() for m in _ENDPOINT.finditer(text)], np.int64).reshape(-1, 2) if len(keys) else np.zeros((0, 2), np.int64)
-    ends = ends[_near(ends, ids, scope) & _near(ends, keys, scope)]
+    ends = ends[_near(at(ends), ids, scope) & _near(at(ends), at(keys), scope)]
     return [(3, a, b) for a, b in keys.tolist()] + [(4, a, b) for a, b in ends.tolist()]
 
 
+def _points(text: bytes) -> np.ndarray:
+    """Code points before each byte, and in all."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+
+
 def scan(column: pa.Array, scope: int) -> list[list[tuple[int, int, int]]]:
     """The findings of each text: (kind, start, end) in code points."""
     data, offsets = T.flat(column)
@@ -73,16 +79,18 @@ def scan(column: pa.Array, scope: int) -> list[list[tuple[int, int, int]]]:
     for row in range(len(found)):
         text = raw[bounds[row] : bounds[row + 1]]
         low = text.lower()
+        points = None
         if any(h in low for h in _HINTS):
             found[row] += [(0, *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
         if b"AKIA" in text:
             access = [m.span() for m in _ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
             found[row] += [(1, *s) for s in access]
             if access:
-                found[row] += _linked(text, access, scope)
+                points = None if text.isascii() else _points(text)
+                found[row] += _linked(text, access, scope, points)
         if found[row]:
             if not text.isascii():
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                points = _points(text) if points is None else points
                 found[row] = [(k, int(points[a]), int(points[b])) for k, a, b in found[row]]
             found[row].sort(key=lambda x: (x[1], x[0]))
     return found

@@ -117,6 +117,17 @@ def test_weak_candidates_need_their_parts(spark):
     assert got == {0: ["access", "key", "endpoint"], 1: [], 2: ["access"], 3: ["access", "key"], 4: ["access"]}
 
 
+def test_keys_after_an_equals_sign_and_scope_in_code_points(spark):
+    key, access = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"[:40], "AKIA" + "IOSFODNN7EXAMPLE"
+    end = "https://s3.example.com/bucket"
+    pair = f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={key}\n"
+    texts = [f"{pair}ENDPOINT={end}", f"AWS_SECRET_ACCESS_KEY={key}", f"{access} x={key}=", f"{access} {'é' * 298} {key}", f"{access} {'é' * 299} {key}", f"{access} {key} {'é' * 298} {end}"]
+    got = {r.doc_id: r.findings for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: [f.kind for f in x] for i, x in got.items()} == {0: ["access", "key", "endpoint"], 1: [], 2: ["access"], 3: ["access", "key"], 4: ["access"], 5: ["access", "key"]}
+    for i, kind, part in ((0, "key", key), (0, "endpoint", end), (3, "key", key)):
+        assert [texts[i][f.start : f.end] for f in got[i] if f.kind == kind] == [part]
+
+
 def _exact(ids, vectors, every, k):
     out = {}
     for q in np.flatnonzero(ids % every == 0):
