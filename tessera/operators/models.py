@@ -12,8 +12,13 @@ TOKENS, SCALE, CAP = 64, 16384, 65535
 
 
 def histogram(tokens: DataFrame, *keys: str) -> DataFrame:
-    """(keys, token, n), partial sums first; counts are capped as in a stream's header."""
-    return tokens.groupBy(*keys, "token").agg(F.least(F.count("*"), F.lit(CAP).cast("long")).alias("n"))
+    """(keys, token, n), partial sums first; all tokens of the table count."""
+    return tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
+
+
+def plane_histogram(tokens: DataFrame, *plane: str) -> DataFrame:
+    """The histogram of each coded plane, counts capped as in a stream's header."""
+    return histogram(tokens, *plane).withColumn("n", F.least("n", F.lit(CAP).cast("long")))
 
 
 def _packed(counts: DataFrame, *keys: str) -> DataFrame:

@@ -171,3 +171,10 @@ def test_small_groups(spark):
     row = fidelity.summary(values, "v").first()
     assert (row.n, row.p50, row.p90) == (11, 5.0, 9.0)
     assert sorted(r.r for r in fidelity.ranked(values, "v").collect()) == list(range(11))
+
+
+def test_counts_over_the_table_have_no_cap(spark):
+    tokens = spark.range(150_000).select((F.col("id") % 2).alias("ctx"), F.when(F.col("id") < 140_000, 0).otherwise(1).alias("token"))
+    assert {tuple(r) for r in models.histogram(tokens, "ctx").collect()} == {(c, t, n) for c in (0, 1) for t, n in ((0, 70_000), (1, 5_000))}
+    assert {tuple(r) for r in models.plane_histogram(tokens, "ctx").collect()} == {(c, t, n) for c in (0, 1) for t, n in ((0, 65_535), (1, 5_000))}
+    assert {r.counts[0] for r in models.models(models.histogram(tokens, "ctx"), "ctx").collect()} == {70_000}
