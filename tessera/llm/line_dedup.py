@@ -5,7 +5,7 @@ A document is the sequence of its lines that hold a word, compared without surro
 to each line backwards. The smallest line hash of a window is its fingerprint; equal windows choose equal
 lines, so any repeated run that is long enough has a fingerprint in common with its first copy. Windows
 meet by fingerprint and content. Where windows of the same content meet, the one with the smallest
-(doc_id, line) stays and the others are repeats; overlapping repeats join into the whole run, forwards and
+(doc_id, text, line) stays and the others are repeats; overlapping repeats join into the whole run, forwards and
 backwards, up to the lines where the texts part. So a line goes exactly if it lies in a run of
 ``min_words`` words or more of which an equal run starts earlier, in an earlier document or further up.
 
@@ -13,7 +13,8 @@ Each map task sends one window of each content; its other copies are known to be
 A passage in a third of all documents therefore costs one entry a map task, and no pairs are listed.
 
 Defined results: a null text stays null, and a text without repeats stays as it is; a document whose lines all go keeps its row with the lines that hold no word, or an empty text;
-rows of one doc_id count as one document, so repeated rows don't delete each other; rows without doc_id
+rows of one doc_id with the same text count as one document, so repeated rows don't delete each other; those with different texts are documents
+of their own, in the order of a hash of the text; rows without doc_id
 stay as they are and are nobody's first copy; an empty table gives an empty table; other columns are kept.
 """
 
@@ -71,18 +72,18 @@ def line_windows(hashes: np.ndarray, counts: np.ndarray, bounds: np.ndarray, min
 
 
 def _emit(min_words: int, n: int):
-    schema = ("b", "keys", "docs", "lows", "highs")
+    schema = ("b", "keys", "docs", "texts", "lows", "highs")
 
     def flush(held: list[tuple], turn: int) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        keys, docs, lows, highs = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, docs, texts, lows, highs = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((lows, docs, keys))
-        keys, docs, lows, highs = keys[order], docs[order], lows[order], highs[order]
+        order = np.lexsort((lows, texts, docs, keys))
+        keys, docs, texts, lows, highs = keys[order], docs[order], texts[order], lows[order], highs[order]
         begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         lead = np.repeat(begins, np.diff(np.append(begins, len(keys))))
-        later = (docs != docs[lead]) | (lows != lows[lead])
+        later = (docs != docs[lead]) | (texts != texts[lead]) | (lows != lows[lead])
         fresh = np.zeros(len(keys), bool)
         fresh[begins] = True
         fresh = np.flatnonzero(fresh)
@@ -92,11 +93,11 @@ def _emit(min_words: int, n: int):
         for b in range(n):
             rows = fresh[edge[b] : edge[b + 1]]
             if len(rows):
-                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32())} | {c: [x[rows].tobytes()] for c, x in zip(schema[1:], (keys, docs, lows, highs), strict=True)})
+                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32())} | {c: [x[rows].tobytes()] for c, x in zip(schema[1:], (keys, docs, texts, lows, highs), strict=True)})
         for part in np.array_split(np.flatnonzero(later), n):  # known to be later: no key needed
             if len(part):
                 turn += 1
-                yield pa.RecordBatch.from_pydict({"b": pa.array([turn % n], pa.int32()), "keys": pa.array([None], pa.binary()), "docs": [docs[part].tobytes()], "lows": [lows[part].tobytes()], "highs": [highs[part].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"b": pa.array([turn % n], pa.int32()), "keys": pa.array([None], pa.binary()), "docs": [docs[part].tobytes()], "texts": [texts[part].tobytes()], "lows": [lows[part].tobytes()], "highs": [highs[part].tobytes()]})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -106,8 +107,8 @@ def _emit(min_words: int, n: int):
             hashes, counts, number, bounds = lines_of(*T.flat(piece.column("text")))
             first, stop, prints, content = line_windows(hashes, counts, bounds, min_words)
             if len(first):
-                docs = np.repeat(piece.column("doc_id").to_numpy(), np.diff(bounds))
-                held.append((T.mix(prints ^ T.mix(content)), docs[first], number[first].astype(np.int32), number[stop - 1].astype(np.int32)))
+                docs, texts = (np.repeat(piece.column(c).to_numpy(), np.diff(bounds)) for c in ("doc_id", "text_hash"))
+                held.append((T.mix(prints ^ T.mix(content)), docs[first], texts[first], number[first].astype(np.int32), number[stop - 1].astype(np.int32)))
                 size += len(first)
             if size > FLUSH_WINDOWS:
                 yield from flush(held, turn)
@@ -122,37 +123,38 @@ def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     out: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        for keys, *rest in zip(*(batch.column(c).to_pylist() for c in ("keys", "docs", "lows", "highs")), strict=True):
-            docs, lows, highs = (np.frombuffer(x, k) for x, k in zip(rest, (np.int64, np.int32, np.int32), strict=True))
+        for keys, *rest in zip(*(batch.column(c).to_pylist() for c in ("keys", "docs", "texts", "lows", "highs")), strict=True):
+            docs, texts, lows, highs = (np.frombuffer(x, k) for x, k in zip(rest, (np.int64, np.int64, np.int32, np.int32), strict=True))
             if keys is None:
-                out.append((docs, lows, highs))
+                out.append((docs, texts, lows, highs))
             else:
-                held.append((np.frombuffer(keys, np.uint64), docs, lows, highs))
+                held.append((np.frombuffer(keys, np.uint64), docs, texts, lows, highs))
     if held:
-        keys, docs, lows, highs = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((lows, docs, keys))
-        keys, docs, lows, highs = keys[order], docs[order], lows[order], highs[order]
+        keys, docs, texts, lows, highs = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((lows, texts, docs, keys))
+        keys, docs, texts, lows, highs = keys[order], docs[order], texts[order], lows[order], highs[order]
         begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         lead = np.repeat(begins, np.diff(np.append(begins, len(keys))))
-        later = (docs != docs[lead]) | (lows != lows[lead])
-        out.append((docs[later], lows[later], highs[later]))
+        later = (docs != docs[lead]) | (texts != texts[lead]) | (lows != lows[lead])
+        out.append((docs[later], texts[later], lows[later], highs[later]))
     if out:
-        docs, lows, highs = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(docs, kind="stable")
-        docs, lows, highs = docs[order], lows[order], highs[order]
-        names, begins = np.unique(docs, return_index=True)
+        docs, texts, lows, highs = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((texts, docs))
+        docs, texts, lows, highs = docs[order], texts[order], lows[order], highs[order]
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(docs)), bool), (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])]))
+        names, hashes = docs[begins], texts[begins]
         ends = np.append(begins[1:], len(docs))
         for lo in range(0, len(names), 8192):
             some = range(lo, min(lo + 8192, len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 8192]), pa.array([lows[begins[k] : ends[k]].tobytes() for k in some], pa.binary()), pa.array([highs[begins[k] : ends[k]].tobytes() for k in some], pa.binary())], ["doc_id", "lows", "highs"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 8192]), pa.array(hashes[lo : lo + 8192]), pa.array([lows[begins[k] : ends[k]].tobytes() for k in some], pa.binary()), pa.array([highs[begins[k] : ends[k]].tobytes() for k in some], pa.binary())], ["doc_id", "text_hash", "lows", "highs"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, spans) for documents with lines to delete; spans are [first, last] line numbers, from 0, as packed pieces."""
+    """(doc_id, text_hash, spans) for documents with lines to delete; spans are [first, last] line numbers, from 0, as packed pieces."""
     n = tasks(docs, 0.5)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = slim.mapInArrow(_emit(min_words, n), "b int, keys binary, docs binary, lows binary, highs binary").repartitionById(n, "b")
-    return windows.mapInArrow(_repeats, "doc_id long, lows binary, highs binary").groupBy("doc_id").agg(F.collect_list(F.struct("lows", "highs")).alias("spans"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    windows = slim.mapInArrow(_emit(min_words, n), "b int, keys binary, docs binary, texts binary, lows binary, highs binary").repartitionById(n, "b")
+    return windows.mapInArrow(_repeats, "doc_id long, text_hash long, lows binary, highs binary").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lows", "highs")).alias("spans"))
 
 
 def _cut_lines(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
@@ -169,8 +171,8 @@ def _cut_lines(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, report: bool = False) -> DataFrame:
     """``docs`` with the repeated runs cut from ``text``; with ``report``: doc_id, n_lines, n_deleted, deleted (runs as first-last, comma-joined) and text."""
-    spans = repeated_runs(docs, min_words).withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("spans", "__spans")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
+    spans = repeated_runs(docs, min_words).withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("text_hash", "__text_hash").withColumnRenamed("spans", "__spans")
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_hash")), "left").drop("__doc_id", "__text_hash")
     text_at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

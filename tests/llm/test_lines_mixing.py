@@ -58,3 +58,11 @@ def test_large_means_are_split(spark):
     docs = spark.createDataFrame([(i, "x", "a" if i else "b") for i in range(400)], "doc_id long, text string, source string")
     counts = Counter(r.source for r in mixing.replicate(docs, {"a": 0.1, "b": 0.9}).collect())
     assert 300 < counts["b"] < 420
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(10)) for k in range(6))
+    clean = "\n".join(" ".join(f"c{k}w{j}" for j in range(10)) for k in range(8))
+    rows = [(1, passage), (2, "own line\n" + passage), (2, clean), (2, "short"), (2, "own line\n" + passage)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, passage), (2, "own line"), (2, clean), (2, "short"), (2, "own line")])
