@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,21 @@ def tasks(df: DataFrame, expansion: float = 1.0) -> int:
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def labels(n: int) -> list[int]:
+    """n integers that Spark's hash partitioning into n partitions deals to a partition each, where it can."""
+    x = np.arange(24 * n + 64, dtype=np.uint32)
+    with np.errstate(over="ignore"):
+        turn = lambda v, k: (v << np.uint32(k)) | (v >> np.uint32(32 - k))
+        # 32-bit Murmur3 of an int with seed 42
+        h = turn(turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        h ^= h >> np.uint32(16)
+    places = h.view(np.int32).astype(np.int64) % n
+    found, first = np.unique(places, return_index=True)
+    spare = iter(np.setdiff1d(np.arange(len(x)), first).tolist())
+    out = dict(zip(found.tolist(), first.tolist(), strict=True))
+    return [out[p] if p in out else next(spare) for p in range(n)]

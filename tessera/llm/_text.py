@@ -164,3 +164,31 @@ def buckets(values: np.ndarray, n: int) -> np.ndarray:
     low = values & _U(0xFFFFFFFF)
     spread = ((low & _U(0xFFFF)) << _U(16)) | (low >> _U(16))
     return ((spread * _U(n)) >> _U(32)).astype(np.int64)
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes: integers in the smallest type that holds them, whatever their size; byte by byte of all numbers, compressed."""
+    out = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        if a.dtype.kind in "iu":
+            low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+            a = a.astype(np.promote_types(np.min_scalar_type(low), np.min_scalar_type(high)) if low < 0 else np.min_scalar_type(high))
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+        body = _CODEC.compress(planes, asbytes=True) if planes else b""
+        out += [a.dtype.str.encode(), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """Inverse of pack()."""
+    out, at = [], 1
+    for _ in range(data[0]):
+        kind, count, size = np.dtype(data[at : at + 3].decode()), int.from_bytes(data[at + 3 : at + 11], "little"), int.from_bytes(data[at + 11 : at + 19], "little")
+        at += 19
+        planes = _CODEC.decompress(data[at : at + size], count * kind.itemsize, asbytes=True) if count else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1))
+        at += size
+    return out

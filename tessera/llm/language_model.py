@@ -1,20 +1,29 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
 
-Frequent words (a 2,048th of all training tokens or more, so 2,048 at most) are symbols of their own; the other words fall
-into 256 classes by their last three bytes. After each symbol stands a context restaurant over the next symbol; all of these share one parent restaurant over
-symbols, whose base is uniform. Under each class stands a restaurant over its words, with a uniform base over them and one unseen word. A word's
-probability is that of its symbol in its context, times that of the word in its class.
+Every word that occurs before another, and the start, has a context restaurant; its customers are the words that follow there, and each
+table's dish is one word. All contexts share one parent restaurant, whose customers are the tables of the contexts; the parent's
+base is uniform over all known words and one unseen word. What is counted and seated are all pairs of all training documents, so
+the model grows with the corpus.
 
-Seating is sampled by Gibbs: a sweep seats each restaurant's customers anew, dish by dish, given the tables of all others and the parent's predictive
-probabilities; the tables of the contexts are the parent's customers. Past the first customers of a dish, blocks of an eighth of those seated are seated at once.
-Predictive probabilities are averaged over the sweeps after burn-in; their sum over all words is 1 in each sweep.
+Seating is sampled by Gibbs. In a sweep all customers of a dish leave their restaurant and are seated anew, given all other dishes'
+tables and the parent's predictive probabilities; only how many tables they take matters to any probability. Up to ``EXACT`` customers
+that number is drawn from its exact conditional distribution, which sums over all seatings by generalised Stirling numbers. A
+larger dish's customers are seated one after another by the restaurant's rule, which leaves out what the tables to come weigh; a test
+holds the difference below 0.2 % of the dish's customers. Those between two openings are passed over at once. Dishes of a restaurant take turns in two halves. First the contexts are seated under a plain parent, then the parent seats the tables that this left, and
+then the contexts are seated under that parent; their predictive probabilities are averaged over the sweeps after burn-in. They sum to 1 over all words and the
+unseen one.
 
-All counts cover all training documents: word counts are exact and distributed, symbol pairs fill a table whose size the frequency limit bounds, and the
-seating of the classes needs only how many words have which count. Scoring looks frequent words up in a bounded table; the others go to their bucket of the counts, packed, and
-come back as sums for each document.
+Discounts follow from the numbers of dishes with one and with two customers, for each part of the contexts and of the words by its own ones.
+
+How it is dealt. A pass counts words; words above 1/131,072 of all tokens, a bounded table, get short codes. A second pass sends each
+token once, with its context and its document's number, to the part that holds the context; the tokens of equal pairs are packed together. This exchange is read twice in
+one plan: for the first seating, whose tables go to the parts that hold the words, and for the second, with the parent's answers, which scores the tokens too and sends back sums by document.
+A context with more than half a part's share of the tokens is dealt over several parts by a hash of its words. Each of these takes the
+restaurant's tables to be so many times its own ones. A repeated task repeats its random numbers.
 
 Defined results: a null or empty text has the end as its only token; repeated rows count, and are scored, each for itself; a null
-doc_id is hashed as an empty text, which holds it out; without training documents all counts are 0; an empty table gives an empty table; other columns play no part.
+doc_id is hashed as an empty text, which holds it out; without training documents all counts are 0 and all words have the unseen one's
+probability, 1; an empty table gives an empty table; other columns play no part; a text of any length is handled whole; ties do not arise.
 """
 
 from __future__ import annotations
@@ -30,22 +39,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import cut, documents, tasks
+from ._spark import cut, documents, labels, tasks
 
-CLASSES = 256
-#: A word is a symbol from this share of all training tokens on, and is in the scoring tasks' own table from that one.
-SYMBOL_SHARE, TABLE_SHARE = 1 / 2048, 1 / 131_072
-#: Stands for the end among the hashes.
+#: A word has a code from this share of all training tokens on; so there are 131,072 codes at most.
+TABLE_SHARE = 1 / 131_072
+#: Stands for the end, and as a context for the start, among the hashes.
 END = np.uint64(0)
-#: Distinct words, pending lookups and documents that a task holds before it emits them.
-FLUSH_WORDS, FLUSH_LOOKUPS, FLUSH_DOCS = 1 << 20, 1 << 20, 60_000
+#: Distinct words that a task holds before it emits them; tokens that it packs at once.
+FLUSH_WORDS, FLUSH_TOKENS = 1 << 20, 1 << 21
+#: Customers of a dish up to which the tables are drawn from their exact distribution.
+EXACT = 1024
+#: Dishes with up to so many customers, and more than the limit before it, are drawn together.
+_BINS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, EXACT])
 
 
 @dataclass(frozen=True)
 class PitmanYorConfig:
     strength: float = 1.0
-    sweeps: int = 12
-    burn_in: int = 4
+    sweeps: int = 8
+    burn_in: int = 3
     seed: int = 23
 
 
@@ -54,17 +66,11 @@ def held_out(doc_ids: list[int | None]) -> np.ndarray:
 
 
 def _tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's lower-cased words and its end, with the class in the low byte; the rows' bounds."""
+    """Hashes of each text's lower-cased words and its end; the rows' bounds."""
     data, offsets = T.flat(piece.column("text"))
     data = T.LOWER[data]
     starts, ends, bounds = T.words(data, offsets)
-    hashes = T.span_hashes(data, starts, ends, seed=7)
-    tail = data[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
-    for k in (2, 3):
-        at = np.maximum(ends - k, starts)
-        tail = tail * np.uint64(257) + np.where(ends - k >= starts, data[at] if len(at) else 0, 0).astype(np.uint64)
-    kind = T.mix(tail + np.uint64(1)) & np.uint64(CLASSES - 1)
-    hashes = np.maximum(hashes & ~np.uint64(CLASSES - 1), np.uint64(CLASSES)) | kind
+    hashes = np.maximum(T.span_hashes(data, starts, ends, seed=7), np.uint64(1))
     counts = np.diff(bounds) + 1
     out = np.full(len(hashes) + len(counts), END)
     edge = np.concatenate([[0], np.cumsum(counts)])
@@ -101,7 +107,7 @@ def word_counts(docs: DataFrame, n: int) -> DataFrame:
             edge = np.searchsorted(where[order], np.arange(n + 1))
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 rows = order[edge[b] : edge[b + 1]]
-                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "words": [keys[rows].tobytes()], "counts": [counts[rows].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "words": [keys[rows].tobytes()], "counts": [T.pack(counts[rows])]})
 
         for piece in T.pieces(batches, "text"):
             tokens, _ = _tokens(_training(piece))
@@ -121,23 +127,23 @@ def word_counts(docs: DataFrame, n: int) -> DataFrame:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for b, words, counts in zip(*(batch.column(c).to_pylist() for c in ("b", "words", "counts")), strict=True):
-                held.setdefault(b, []).append((np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)))
+                held.setdefault(b, []).append((np.frombuffer(words, np.uint64), T.unpack(counts)[0].astype(np.int64)))
         for b, parts in held.items():
             words, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "words": [words.tobytes()], "counts": [counts.tobytes()], "tokens": [int(counts.sum())], "types": [len(words)]})
+            yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "words": [words.tobytes()], "counts": [T.pack(counts)], "tokens": [int(counts.sum())], "types": [len(words)]})
 
     parts = docs.mapInArrow(gather, "b int, words binary, counts binary").repartitionById(n, "b")
     return cut(parts.mapInArrow(total, "b int, words binary, counts binary, tokens long, types long"))
 
 
 def _above(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words of at least so many counts; the share that the limit stands for bounds how many there are."""
+    """Words of at least so many counts, and the end; the share that the limit stands for bounds how many there are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                keep = (counts >= least) & (words != END)
+                words, counts = np.frombuffer(words, np.uint64), T.unpack(counts)[0].astype(np.int64)
+                keep = (counts >= least) | (words == END)
                 yield pa.RecordBatch.from_pydict({"words": [words[keep].tobytes()], "counts": [counts[keep].tobytes()]})
 
     rows = table.mapInArrow(run, "words binary, counts binary").collect()
@@ -155,286 +161,373 @@ def _find(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(words[at] == tokens, at, -1)
 
 
-def _symbols(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Frequent words come first, then the classes, then the end."""
-    own = _find(frequent, tokens)
-    return np.where(own >= 0, own, np.where(tokens == END, len(frequent) + CLASSES, len(frequent) + (tokens & np.uint64(CLASSES - 1)).astype(np.int64)))
-
-
-def _contexts(symbols: np.ndarray, edge: np.ndarray, start: int) -> np.ndarray:
-    before = np.empty_like(symbols)
-    before[1:] = symbols[:-1]
-    before[edge[:-1]] = start
-    return before
-
-
-def pair_counts(docs: DataFrame, frequent: np.ndarray, n: int) -> np.ndarray:
-    """How often each symbol follows each context in the training documents: a table that the symbols' share bounds."""
-    size = len(frequent) + CLASSES + 1
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((size + 1) * size, np.int64)
-        for piece in T.pieces(batches, "text"):
-            tokens, edge = _tokens(_training(piece))
-            if len(tokens):
-                symbols = _symbols(tokens, frequent)
-                cells, counts = np.unique(_contexts(symbols, edge, size) * size + symbols, return_counts=True)
-                sums[cells] += counts
-        cells = np.flatnonzero(sums)
-        for b, some in enumerate(np.split(cells, np.searchsorted(cells, np.arange(1, n) * len(sums) // n))):
-            if len(some):
-                yield pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "cells": [some.astype(np.int64).tobytes()], "counts": [sums[some].tobytes()]})
-
-    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(c, np.int64), np.frombuffer(k, np.int64)) for batch in batches for c, k in zip(batch.column("cells").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-        if held:
-            cells, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_pydict({"cells": [cells.tobytes()], "counts": [counts.tobytes()]})
-
-    out = np.zeros((size + 1) * size, np.int64)
-    for cells, counts in docs.mapInArrow(gather, "b int, cells binary, counts binary").repartitionById(n, "b").mapInArrow(total, "cells binary, counts binary").collect():
-        out[np.frombuffer(cells, np.int64)] = np.frombuffer(counts, np.int64)
-    return out.reshape(size + 1, size)
-
-
-def _bins(counts: np.ndarray) -> np.ndarray:
-    """Counts up to 64 by themselves, larger ones in sixteenths of an octave."""
-    return np.where(counts <= 64, counts, 64 + np.floor(16 * np.log2(np.maximum(counts, 64) / 64)).astype(np.int64) + 1)
-
-
-def count_histogram(table: DataFrame, symbol_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class, bin, number of words and of tokens, over all words that are no symbols of their own."""
+# The restaurants
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                keep = (counts < symbol_least) & (words != END)
-                key = (words[keep] & np.uint64(CLASSES - 1)).astype(np.int64) * 4096 + _bins(counts[keep])
-                keys, back, some = np.unique(key, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some.astype(np.int64)), pa.array(np.bincount(back, counts[keep], len(keys)).astype(np.int64))], ["key", "words", "tokens"])
 
-    rows = table.mapInArrow(run, "key long, words long, tokens long").groupBy("key").agg(F.sum("words"), F.sum("tokens")).collect()
-    found = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
-    found = found[np.argsort(found[:, 0])]
-    return found[:, 0] // 4096, found[:, 0] % 4096, found[:, 1], found[:, 2]
+def discount_of(customers: np.ndarray) -> float:
+    """The discount by the numbers of dishes with one and with two customers."""
+    ones, twos = int((customers == 1).sum()), int((customers == 2).sum())
+    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
 
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers are seated one after another: a customer opens a table with weight ``fresh``, and sits down at one with the seated ones less the discount a table."""
-    tables = np.minimum(customers, 1).astype(np.float64)
+def stirling(discount: float, most: int) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers, [customers, tables]: the weight of all seatings of so many customers at so many tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    at = np.arange(1, most + 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for n in range(1, most):
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], out[n, 1:] + np.log(np.maximum(n - discount * at, 0)))
+            out[n + 1, n + 2 :] = -np.inf
+    return out
+
+
+def _exact(customers: np.ndarray, others: np.ndarray, log_parent: np.ndarray, discount: float, strength: float, weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes from their exact distribution, given the other dishes' tables of each one's restaurant."""
+    out, most = np.empty(len(others), np.int64), int(customers.max())
+    step = max(1, (1 << 21) // most)
+    for lo in range(0, len(others), step):
+        some = slice(lo, lo + step)
+        odds = np.log(strength + discount * (others[some, None] + np.arange(most))) + log_parent[some, None]
+        odds = np.cumsum(odds, 1) + weights[customers[some], 1 : most + 1]
+        odds = np.cumsum(np.exp(odds - odds.max(1, keepdims=True)), 1)
+        out[some] = (odds < rng.random(len(odds))[:, None] * odds[:, -1:]).sum(1) + 1
+    return out
+
+
+def _one_by_one(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after the customers of each dish sat down one after another; between two openings the tables do not change, so those who only join are passed over."""
+    tables, seated = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64)
     left = np.flatnonzero(customers > 1)
-    seated = 1
     while len(left):
-        block = max(1, seated // 8)
-        now = np.minimum(block, customers[left] - seated)
-        old = seated - discount[left] * tables[left]
-        p = fresh[left] / (fresh[left] + old)
-        tables[left] += (rng.random(len(left)) < p) if block == 1 else rng.binomial(now, p)
-        seated += block
-        left = left[customers[left] > seated]
+        opens = (strength + discount * (others[left] + tables[left])) * parent[left]
+        joins = seated[left] - discount * tables[left]
+        # none of the next m opens with probability (joins / (joins + m)) ** opens, nearly
+        ahead = joins * np.expm1(np.minimum(-np.log(rng.random(len(left))) / opens, 60))
+        come = np.minimum(ahead, customers[left] - seated[left]).astype(np.int64)
+        seated[left] += come
+        left = left[seated[left] < customers[left]]
+        seated[left] += 1
+        tables[left] += 1
+        left = left[seated[left] < customers[left]]
     return tables
 
 
-def _discount(ones: float, twos: float) -> float:
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
-
-
-def symbol_model(pairs: np.ndarray, config: PitmanYorConfig) -> np.ndarray:
-    """Averaged predictive probability of each symbol in each context."""
-    rng, (contexts, size) = np.random.default_rng(config.seed), pairs.shape
-    rows, dishes = np.nonzero(pairs)
-    customers = pairs[rows, dishes]
-    low, high = _discount((customers == 1).sum(), (customers == 2).sum()), 0.5
-    strength, total = config.strength, pairs.sum(1)
-    tables = np.ones(len(rows))
-    above = np.ones(size)
-    mean = np.zeros((contexts, size))
-    for sweep in range(config.sweeps):
-        guests = np.bincount(dishes, tables, size)
-        # the parent's own seating, given the uniform base
-        some = np.flatnonzero(guests)
-        above = np.zeros(size)
-        held = len(some) if sweep == 0 else held
-        above[some] = seat(guests[some].astype(np.int64), np.full(len(some), (strength + high * held) / size), np.full(len(some), high), rng)
-        held = above.sum()
-        parent = (guests - high * above + (strength + high * held) / size) / (guests.sum() + strength)
-        # and the contexts', given the parent
-        opened = np.bincount(rows, tables, contexts)
-        tables = seat(customers, (strength + low * opened[rows]) * parent[dishes], np.full(len(rows), low), rng)
-        if sweep >= config.burn_in:
-            opened = np.bincount(rows, tables, contexts)
-            part = ((strength + low * opened) / (total + strength))[:, None] * parent[None]
-            part[rows, dishes] += (customers - low * tables) / (total + strength)[rows]
-            mean += part
-    return mean / (config.sweeps - config.burn_in)
-
-
-@dataclass(frozen=True)
-class ClassModel:
-    """For each class: log10 probability of a word by the bin of its count, and what a count above the bin's mean adds."""
-
-    tables: np.ndarray  #: mean tables of a word, by class and bin
-    discount: np.ndarray
-    fresh: np.ndarray  #: what each word has from the base
-    total: np.ndarray
-
-    def log10(self, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        seated = counts - self.discount[kinds] * self.tables[kinds, _bins(counts)]
-        return np.log10((seated + self.fresh[kinds]) / self.total[kinds])
-
-
-def class_model(kinds: np.ndarray, bins: np.ndarray, words: np.ndarray, tokens: np.ndarray, config: PitmanYorConfig) -> ClassModel:
-    """Seats the words of each class by Gibbs; words of one bin are seated alike, several times for the mean."""
-    rng, copies = np.random.default_rng(config.seed + 1), 16
-    types, total = np.bincount(kinds, words, CLASSES), np.bincount(kinds, tokens, CLASSES)
-    ones, twos = (np.bincount(kinds[bins == k], words[bins == k], CLASSES) for k in (1, 2))
-    discount = np.array([_discount(a, b) for a, b in zip(ones, twos, strict=True)])
-    customers = np.repeat(np.maximum(1, np.rint(tokens / np.maximum(words, 1))).astype(np.int64), copies)
-    owner = np.repeat(kinds, copies)
-    opened, strength = types.copy(), config.strength
-    mean = np.zeros((CLASSES, 4096))
-    for sweep in range(config.sweeps):
-        fresh = (strength + discount * opened) / (types + 1)
-        tables = seat(customers, fresh[owner], discount[owner], rng).reshape(-1, copies).mean(1) if len(kinds) else np.zeros(0)
-        opened = np.bincount(kinds, words * tables, CLASSES)
-        if sweep >= config.burn_in:
-            mean[kinds, bins] += tables / (config.sweeps - config.burn_in)
-    opened = np.bincount(kinds, words * mean[kinds, bins], CLASSES)
-    return ClassModel(mean, discount, (strength + discount * opened) / (types + 1), total + strength)
-
-
-def _score(frequent: np.ndarray, table: tuple[np.ndarray, np.ndarray], contexts: np.ndarray, classes: ClassModel, base: tuple[float, float, int], n: int):
-    """Scores what a task knows itself, and sends the other words to their buckets."""
-    size, (known, counts) = len(frequent) + CLASSES + 1, table
-    divisor, _, ends = base
-    class_log = np.where(known == END, 0, classes.log10((known & np.uint64(CLASSES - 1)).astype(np.int64), counts))
-    own = _find(frequent, known) >= 0
-    class_log[own] = 0
-    base_log = np.log10((counts + 0.1) / divisor)
-    end_log = np.log10((ends + 0.1) / divisor)
+def reseat(customers: np.ndarray, tables: np.ndarray, opened: np.ndarray, parent: np.ndarray, discount: float, strength: float, weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """New tables of each dish: all its customers leave and are seated anew; ``opened`` are all tables of its restaurant."""
+    out = np.minimum(customers, 1)
+    others = np.maximum(opened - tables, 0)
+    order = np.argsort(customers, kind="stable")
+    edge = np.searchsorted(customers[order], [1, *_BINS], "right")
+    log_parent = np.log(parent)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if hi > lo:
+            some = order[lo:hi]
+            out[some] = _exact(customers[some], others[some], log_parent[some], discount, strength, weights, rng)
+    some = order[edge[-1] :]
+    out[some] = _one_by_one(customers[some], others[some], parent[some], discount, strength, rng)
+    return out
+
+
+class Contexts:
+    """The context restaurants of a part: pairs of a context and a word, with their customers."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], table: tuple[np.ndarray, np.ndarray], fans: np.ndarray, config: PitmanYorConfig, seed: int):
+        """``rows`` are (chunk, packed tokens); see _packed(). ``fans`` says over how many parts each word's restaurant is dealt."""
+        words, totals = table
+        self.config, self.chunks = config, []
+        contexts, dishes, train = [], [], []
+        for name, data in sorted(rows):
+            heads, widths, codes, rare, asks, docs = T.unpack(data)
+            own = np.empty(len(codes), np.uint64)
+            short = codes < len(words)
+            own[short], own[~short] = words[codes[short].astype(np.int64)], rare
+            contexts.append(np.repeat(heads, widths))
+            dishes.append(own)
+            ends = np.cumsum(asks.astype(np.int64))
+            learned = np.concatenate([[0], np.cumsum(docs & 1)]).astype(np.int64)
+            train.append(learned[ends] - learned[ends - asks])
+            self.chunks.append((name, asks.astype(np.int64), docs >> 1))
+        none = np.zeros(0, np.uint64)
+        contexts, dishes = np.concatenate([none, *contexts]), np.concatenate([none, *dishes])
+        # pairs in order of context, then word
+        order = np.lexsort((dishes, contexts))
+        c, w = contexts[order], dishes[order]
+        fresh = np.ones(len(c), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        self.pair_of = np.empty(len(c), np.int64)
+        self.pair_of[order] = np.cumsum(fresh) - 1
+        self.customers = np.bincount(self.pair_of, np.concatenate([np.zeros(0, np.int64), *train]), int(fresh.sum())).astype(np.int64)
+        c, self.dishes = c[fresh], w[fresh]
+        heads = np.ones(len(c), bool)
+        heads[1:] = c[1:] != c[:-1]
+        self.context = np.cumsum(heads) - 1
+        names = c[heads]
+        #: customers of each restaurant here, and in all: others' parts of a frequent context are known from its count
+        here = np.bincount(self.context, self.customers, len(names)).astype(np.int64)
+        at = _find(words, names)
+        self.total = np.where(at >= 0, totals[at] if len(totals) else 0, here)
+        self.scale = np.where(at >= 0, fans[at] if len(fans) else 1, 1).astype(float)
+        self.discount = discount_of(self.customers)
+        self.weights = stirling(self.discount, min(EXACT, max(2, int(self.customers.max(initial=2)))))
+        self.rng = np.random.default_rng([config.seed, seed])
+        self.tables = np.minimum(self.customers, 1)
+        # the words of the part, in order, and which of them each pair has
+        self.words, self.word_of = np.unique(self.dishes, return_inverse=True)
+
+    def opened(self) -> np.ndarray:
+        """Tables of each restaurant."""
+        return np.bincount(self.context, self.tables, len(self.total)) * self.scale
+
+    def sweep(self, parent: np.ndarray) -> None:
+        """``parent`` has the parent's probability of each pair's word."""
+        for half in (0, 1):
+            some = np.flatnonzero((self.customers > 1) & (self.word_of % 2 == half))
+            opened = self.opened()[self.context[some]]
+            self.tables[some] = reseat(self.customers[some], self.tables[some], opened, parent[some], self.discount, self.config.strength, self.weights, self.rng)
+
+    def predictive(self, parent: np.ndarray) -> np.ndarray:
+        """Probability of each pair's word in its context, averaged over the sweeps after burn-in."""
+        mean, sweeps = np.zeros(len(self.customers)), self.config.sweeps - self.config.burn_in
+        strength = self.config.strength
+        for k in range(self.config.sweeps):
+            self.sweep(parent)
+            if k >= self.config.burn_in:
+                back = (strength + self.discount * self.opened()) / (strength + self.total)
+                mean += (self.customers - self.discount * self.tables) / (strength + self.total)[self.context] + back[self.context] * parent
+        return mean / sweeps
+
+    def to_parent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The part's words, in order, and the tables that serve each: the parent's customers."""
+        return self.words, np.bincount(self.word_of, self.tables, len(self.words)).astype(np.int64)
+
+
+def parent_seating(customers: np.ndarray, share: float, types: int, config: PitmanYorConfig, seed: int) -> tuple[np.ndarray, float]:
+    """Customers of each word in the parent restaurant less the discounts of its tables, averaged over the sweeps after burn-in; and the discounts of all tables. ``share`` is the share of all words that are here."""
+    rng = np.random.default_rng([config.seed, seed, 1])
+    discount = discount_of(customers)
+    weights, tables, base = stirling(discount, min(EXACT, max(2, int(customers.max(initial=2))))), np.minimum(customers, 1), np.full(len(customers), 1 / (types + 1))
+    mean, some = np.zeros(len(customers)), np.flatnonzero(customers > 1)
+    for k in range(config.sweeps):
+        opened = np.full(len(some), tables.sum() / share)
+        tables[some] = reseat(customers[some], tables[some], opened, base[some], discount, config.strength, weights, rng)
+        if k >= config.burn_in:
+            mean += tables / (config.sweeps - config.burn_in)
+    return customers - discount * mean, float(discount * mean.sum())
+
+
+# The tasks
+
+
+def _fans(counts: np.ndarray, train_tokens: int, n: int) -> np.ndarray:
+    """Over how many parts the followers of each word are dealt."""
+    return np.clip(np.ceil(counts * (2.0 * n) / max(1, train_tokens)), 1, n).astype(np.int64)
+
+
+def _packed(table: tuple[np.ndarray, np.ndarray], train_tokens: int, n: int, names: list[int]):
+    """Sends each token with its context and its document's number to the context's part, and a row of its documents for each chunk."""
+    words, counts = table
+    fans, names = _fans(counts, train_tokens, n), np.array(names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[np.ndarray, ...]] = []
-        asked: list[tuple[np.ndarray, np.ndarray]] = []
-        n_docs = n_asked = 0
+        size = 0
+
+        def row(label: int, name: int, data: bytes | None, docs: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([name], pa.int64()), pa.array([data], pa.binary()), pa.array([docs], pa.binary())], ["label", "name", "data", "docs"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = part + turn
-            row = lambda b, kind, **x: pa.RecordBatch.from_pydict({"b": pa.array([b], pa.int32()), "kind": pa.array([kind], pa.int32()), "name": pa.array([name], pa.int64())} | {c: pa.array([x.get(c)], pa.binary()) for c in ("words", "docs", "tokens", "hits", "base", "model")})
-            ids, tokens, hits, base_sum, model_sum = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield row(name % n, 1, docs=ids.tobytes(), tokens=tokens.tobytes(), hits=hits.tobytes(), base=base_sum.tobytes(), model=model_sum.tobytes())
-            words, docs = (np.concatenate(x) for x in zip(*asked, strict=True))
-            where = T.buckets(T.mix(words), n)
-            order = np.argsort(where, kind="stable")
-            edge = np.searchsorted(where[order], np.arange(n + 1))
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                some = order[edge[b] : edge[b + 1]]
-                yield row(b, 2, words=words[some].tobytes(), docs=docs[some].tobytes())
+            ids, lengths, tokens, train = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            asked.clear()
+            yield row(int(names[name % n]), name, None, T.pack(ids, lengths))
+            before = np.empty_like(tokens)
+            before[1:] = tokens[:-1]
+            before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = END
+            docs = np.repeat(np.arange(len(lengths)) * 2 + train, lengths)
+            types, rank = np.unique(np.append(tokens, END), return_inverse=True)
+            rank, first = rank[:-1], np.append(rank[-1:], rank[:-2])
+            first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = rank[-1] if types[rank[-1]] == END else 0
+            mixed, code = T.mix(types), _find(words, types)
+            fan = np.where(code >= 0, fans[code] if len(words) else 1, 1).astype(np.uint64)
+            place = ((mixed[first] >> np.uint64(7)) + mixed[rank] % fan[first]) % np.uint64(n)
+            bits = np.uint64(max(1, int(len(types) - 1).bit_length()))
+            key = (place << (bits * np.uint64(2))) | (first.astype(np.uint64) << bits) | rank.astype(np.uint64)
+            order = np.argsort(key, kind="stable")
+            key, docs = key[order], docs[order]
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            pairs = key[begins]
+            asks = np.diff(np.append(begins, len(key)))
+            mask = (np.uint64(1) << bits) - np.uint64(1)
+            where, c, w = (pairs >> (bits * np.uint64(2))).astype(np.int64), ((pairs >> bits) & mask).astype(np.int64), (pairs & mask).astype(np.int64)
+            edge = np.searchsorted(where, np.arange(n + 1))
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                lo, hi = int(edge[b]), int(edge[b + 1])
+                heads = np.flatnonzero(np.concatenate([[True], c[lo + 1 : hi] != c[lo : hi - 1]]))
+                own = code[w[lo:hi]]
+                rare = own < 0
+                yield row(int(names[b]), name, T.pack(types[c[lo:hi][heads]], np.diff(np.append(heads, hi - lo)), np.where(rare, len(words), own), types[w[lo:hi][rare]], asks[lo:hi], docs[begins[lo] : begins[hi] if hi < len(begins) else len(docs)]), None)
 
         for piece in T.pieces(batches, "text"):
             tokens, edge = _tokens(piece)
-            symbols = _symbols(tokens, frequent)
-            model = contexts[_contexts(symbols, edge, size), symbols].astype(np.float64)
-            at, is_end = _find(known, tokens), tokens == END
-            model += np.where(at >= 0, class_log[at] if len(class_log) else 0, 0)
-            plain = np.where(is_end, end_log, np.where(at >= 0, base_log[at] if len(base_log) else 0, 0))
-            first = edge[:-1]
-            sure = (at >= 0) | (is_end & (ends > 0))
-            ids = np.array([(x is None, x or 0) for x in piece.column("doc_id").to_pylist()], np.int64).reshape(-1, 2)
-            held.append((ids, np.diff(edge), np.add.reduceat(sure.astype(np.int64), first), np.add.reduceat(plain, first), np.add.reduceat(model, first)))
-            ask = (at < 0) & ~is_end
-            asked.append((tokens[ask], (n_docs + np.repeat(np.arange(len(first)), np.diff(edge))[ask]).astype(np.uint16)))
-            n_docs += len(first)
-            n_asked += int(ask.sum())
-            if n_asked > FLUSH_LOOKUPS or n_docs > FLUSH_DOCS:
+            doc_ids = piece.column("doc_id").to_pylist()
+            ids = np.array([(x is None, x or 0) for x in doc_ids], np.int64).reshape(-1)
+            held.append((ids, np.diff(edge), tokens, ~held_out(doc_ids)))
+            size += len(tokens)
+            if size > FLUSH_TOKENS:
                 yield from flush()
-                n_docs = n_asked = 0
-                turn += 1
+                size, turn = 0, turn + 1
         if held:
             yield from flush()
 
     return run
 
 
-def _answer(classes: ClassModel, base: tuple[float, float, int]):
-    """In each bucket: the counts first, then the lookups; a row of sums for each lookup, and the tasks' own rows passed on."""
-    divisor, zero, _ = base
+PACKED = "label int, name long, data binary, docs binary"
+
+
+def _first_seating(table: tuple[np.ndarray, np.ndarray], train_tokens: int, types: int, n: int, config: PitmanYorConfig):
+    """Seats the contexts under a plain parent by counts; to each part of the words go the tables that serve them."""
+    words, counts = table
+    fans = _fans(counts, train_tokens, n)
+    rest, many = max(1, train_tokens - int(counts.sum())), max(1, types - len(words))
+
+    def plain(hashes: np.ndarray) -> np.ndarray:
+        at = _find(words, hashes)
+        return np.where(at >= 0, counts[at] if len(counts) else 0, rest / many).clip(0.5) / max(1, train_tokens)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        label = key[0].as_py()
+        found = Contexts([(a, d) for a, d in zip(rows["name"].to_pylist(), rows["data"].to_pylist(), strict=True) if d is not None], table, fans, config, label)
+        parent = plain(found.dishes)
+        for _ in range(config.burn_in):
+            found.sweep(parent)
+        own, tables = found.to_parent()
+        out = [(label, b, own[some].tobytes(), T.pack(tables[some])) for b, some in _by_part(own, n)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["label", "b", "words", "tables"])
+
+    return run
+
+
+def _by_part(words: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """The parts of the words that are there, and which ones each has."""
+    where = T.buckets(T.mix(words), n)
+    order = np.argsort(where, kind="stable")
+    edge = np.searchsorted(where[order], np.arange(n + 1))
+    return [(b, order[edge[b] : edge[b + 1]]) for b in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _parent_answers(types: int, config: PitmanYorConfig):
+    """In each part of the words: their counts first, then the tables of the contexts' parts; an answer for each of these, and a row of sums."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: list[tuple[np.ndarray, np.ndarray]] = []
-        table: tuple[np.ndarray, np.ndarray] | None = None
+        known = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+        part = 0
         for batch in batches:
-            for kind, name, words, docs, tokens, hits, plain, model in zip(*(batch.column(c).to_pylist() for c in ("kind", "name", "words", "docs", "tokens", "hits", "base", "model")), strict=True):
-                if kind == 0:
-                    tables.append((np.frombuffer(words, np.uint64), np.frombuffer(docs, np.int64)))
-                    continue
-                if kind == 2:
-                    if table is None:
-                        both = [np.concatenate(x) for x in zip(*tables, strict=True)] if tables else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
-                        order = np.argsort(both[0])
-                        table, tables = (both[0][order], both[1][order]), []
-                    words, docs = np.frombuffer(words, np.uint64), np.frombuffer(docs, np.uint16)
-                    at = _find(table[0], words)
-                    count = np.where(at >= 0, table[1][at] if len(table[1]) else 0, 0)
-                    which, back = np.unique(docs, return_inverse=True)
-                    docs, tokens = which.tobytes(), None
-                    hits = np.bincount(back, at >= 0, len(which)).astype(np.int64).tobytes()
-                    plain = np.bincount(back, np.log10((count + 0.1) / divisor), len(which)).tobytes()
-                    model = np.bincount(back, classes.log10((words & np.uint64(CLASSES - 1)).astype(np.int64), count), len(which)).tobytes()
-                yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.int64())} | {c: pa.array([x], pa.binary()) for c, x in (("docs", docs), ("tokens", tokens), ("hits", hits), ("base", plain), ("model", model))})
+            for label, b, words, tables in zip(*(batch.column(c).to_pylist() for c in ("label", "b", "words", "tables")), strict=True):
+                part = b
+                if label is None:
+                    known = [np.frombuffer(words, np.uint64), T.unpack(tables)[0].astype(np.int64)]
+                else:
+                    asked.append((label, np.frombuffer(words, np.uint64), T.unpack(tables)[0].astype(np.int64)))
+        if not asked:
+            return
+        asked.sort(key=lambda x: x[0])
+        words = np.unique(np.concatenate([x[1] for x in asked]))
+        customers = np.zeros(len(words), np.int64)
+        for _, own, tables in asked:
+            customers[np.searchsorted(words, own)] += tables
+        seated, discounts = parent_seating(customers, max(1, int((customers > 0).sum())) / max(1, types), types, config, part)
+        at = _find(known[0], words)
+        counts = np.where(at >= 0, known[1][at] if len(known[1]) else 0, 0)
+        for label, own, _ in asked:
+            to = np.searchsorted(words, own)
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "b": pa.array([part], pa.int32()), "seated": [T.pack(seated[to].astype(np.float32))], "counts": [T.pack(counts[to])], "customers": pa.array([None], pa.float64()), "discounts": pa.array([None], pa.float64())})
+        yield pa.RecordBatch.from_pydict({"label": pa.array([None], pa.int32()), "b": pa.array([part], pa.int32()), "seated": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "customers": [float(customers.sum())], "discounts": [discounts]})
 
     return run
 
 
+ANSWERS = "label int, b int, seated binary, counts binary, customers double, discounts double"
+
+
+def _scored(table: tuple[np.ndarray, np.ndarray], train_tokens: int, types: int, n: int, config: PitmanYorConfig):
+    """Seats the contexts under the parent's answers and scores the tokens; a row of sums for each chunk, and the chunks' own rows passed on."""
+    divisor, fans = train_tokens + 0.1 * (types + 1), _fans(table[1], train_tokens, n)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [(a, None, d, None, None, None) for a, d in zip(rows["name"].to_pylist(), rows["docs"].to_pylist(), strict=True) if d is not None]
+        found = Contexts([(a, d) for a, d in zip(rows["name"].to_pylist(), rows["data"].to_pylist(), strict=True) if d is not None], table, fans, config, key[0].as_py())
+        words = found.words
+        seated, counts = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        places = dict(_by_part(words, n))
+        customers = discounts = 0.0
+        for b, s, c, customers, discounts in zip(*(answers[x].to_pylist() for x in ("b", "seated", "counts", "customers", "discounts")), strict=True):  # noqa: B007
+            seated[places[b]], counts[places[b]] = T.unpack(s)[0], T.unpack(c)[0]
+        parent = (seated + (config.strength + discounts) / (types + 1)) / (config.strength + customers)
+        model = np.log10(found.predictive(parent[found.word_of]))
+        base = np.log10((counts + 0.1) / divisor)[found.word_of]
+        known = (counts > 0)[found.word_of]
+        at = 0
+        for name, asks, docs in found.chunks:
+            pair = np.repeat(found.pair_of[at : at + len(asks)], asks)
+            at += len(asks)
+            which, back = np.unique(docs, return_inverse=True)
+            out.append((name, key[0].as_py(), T.pack(which), T.pack(np.bincount(back, known[pair], len(which)).astype(np.int64)), np.bincount(back, base[pair], len(which)).tobytes(), np.bincount(back, model[pair], len(which)).tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 6, kinds, strict=True)], ["name", "part", "docs", "hits", "base", "model"])
+
+    return run
+
+
+SUMS = "name long, part int, docs binary, hits binary, base binary, model binary"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
 def _gathered(train_tokens: int):
-    """Adds the sums of each task's part up to its rows."""
+    """Adds the sums of each chunk up to its rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list] = {}
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         rest: dict[int, list] = {}
         for batch in batches:
-            for name, docs, tokens, hits, plain, model in zip(*(batch.column(c).to_pylist() for c in ("name", "docs", "tokens", "hits", "base", "model")), strict=True):
-                numbers = [np.frombuffer(x, k) for x, k in zip((hits, plain, model), (np.int64, np.float64, np.float64), strict=True)]
-                if tokens is not None:
-                    own[name] = [np.frombuffer(docs, np.int64).reshape(-1, 2), np.frombuffer(tokens, np.int64), *(x.copy() for x in numbers)]
+            for name, part, docs, *sums in zip(*(batch.column(c).to_pylist() for c in ("name", "part", "docs", "hits", "base", "model")), strict=True):
+                if part is None:
+                    ids, lengths = T.unpack(docs)
+                    own[name] = ids.astype(np.int64).reshape(-1, 2), lengths.astype(np.int64)
                 else:
-                    rest.setdefault(name, []).append((np.frombuffer(docs, np.uint16), *numbers))
-        for name, (ids, tokens, *sums) in own.items():
+                    rest.setdefault(name, []).append((part, docs, *sums))
+        for name, (ids, lengths) in own.items():
+            hits, base, model = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
             # always in the same order, so that repeated runs give equal sums
-            for docs, *numbers in sorted(rest.get(name, ()), key=lambda x: (x[0].tobytes(), x[2].tobytes())):
-                for total, more in zip(sums, numbers, strict=True):
-                    total[docs] += more
+            for _, docs, h, b, m in sorted(rest.get(name, ()), key=lambda x: x[0]):
+                docs = T.unpack(docs)[0].astype(np.int64)
+                hits[docs] += T.unpack(h)[0].astype(np.int64)
+                base[docs] += np.frombuffer(b)
+                model[docs] += np.frombuffer(m)
             doc_ids = [None if none else i for none, i in ids.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(held_out(doc_ids)), pa.array(tokens), pa.array(sums[0]), pa.array(np.full(len(tokens), train_tokens)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(held_out(doc_ids)), pa.array(lengths), pa.array(hits), pa.array(np.full(len(ids), train_tokens)), pa.array(base), pa.array(model), pa.array(10 ** (-model / lengths))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return run
 
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
 def score_documents(docs: DataFrame, config: PitmanYorConfig = PitmanYorConfig()) -> DataFrame:
-    """Trains on the documents that are not held out and scores all of them."""
+    """Trains on the documents that are not held out and scores all of them; ``perplexity`` is that of a text's tokens."""
     docs = documents(docs)
-    n = tasks(docs, 1)
-    table = word_counts(docs, n)
-    train_tokens, types = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    frequent, _ = _above(table, max(1, train_tokens * SYMBOL_SHARE))
-    known = _above(table, max(1, train_tokens * TABLE_SHARE))
-    pairs = pair_counts(docs, frequent, n)
-    ends = int(pairs[:, -1].sum())
-    contexts = np.log10(symbol_model(pairs, config)).astype(np.float32)
-    classes = class_model(*count_histogram(table, max(1, train_tokens * SYMBOL_SHARE)), config)
-    divisor = train_tokens + 0.1 * (types + 1)
-    base = (divisor, 0.1 / divisor, ends)
-
-    columns = "b int, kind int, name long, words binary, docs binary, tokens binary, hits binary, base binary, model binary"
-    asked = docs.mapInArrow(_score(frequent, known, contexts, classes, base, n), columns)
-    none = F.lit(None).cast("binary")
-    counts = table.select("b", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("name"), "words", F.col("counts").alias("docs"), *(none.alias(c) for c in ("tokens", "hits", "base", "model")))
-    answers = counts.unionByName(asked).repartitionById(n, "b").sortWithinPartitions("kind").mapInArrow(_answer(classes, base), "name long, docs binary, tokens binary, hits binary, base binary, model binary")
-    return answers.repartition(n, "name").mapInArrow(_gathered(train_tokens), SCHEMA)
+    n = tasks(docs, 2)
+    counted = word_counts(docs, n)
+    train_tokens, types = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    table = _above(counted, max(1, train_tokens * TABLE_SHARE))
+
+    # dealt by a hash of the labels, which are chosen to fall on different tasks
+    packed = docs.mapInArrow(_packed(table, train_tokens, n, labels(n)), PACKED).repartition(n, "label")
+    served = packed.groupBy("label").applyInArrow(_first_seating(table, train_tokens, types, n, config), "label int, b int, words binary, tables binary")
+    known = counted.select(F.lit(None).cast("int").alias("label"), "b", "words", F.col("counts").alias("tables"))
+    answers = known.unionByName(served).repartitionById(n, "b").mapInArrow(_parent_answers(types, config), ANSWERS)
+    totals = answers.where("label is null").agg(F.sum("customers").alias("customers"), F.sum("discounts").alias("discounts"))  # one row
+    replies = answers.where("label is not null").select("label", "b", "seated", "counts").join(F.broadcast(totals))
+    sums = packed.groupBy("label").cogroup(replies.groupBy("label")).applyInArrow(_scored(table, train_tokens, types, n, config), SUMS)
+    return sums.repartition(n, "name").mapInArrow(_gathered(train_tokens), SCHEMA)

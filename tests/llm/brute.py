@@ -93,3 +93,59 @@ def strong_secrets(text: str) -> list[tuple[str, int, int]]:
     for k, (kind, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)), 1):
         found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
     return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+def pitman_yor_scores(rows: list[tuple[int | None, str | None]], discounts: tuple[float, float], strength: float, sweeps: int, burn_in: int, seed: int) -> list[float]:
+    """log10 probability of each text by a hierarchical Pitman-Yor model of pairs whose customers are removed and reseated one by one."""
+    import random
+
+    rng = random.Random(seed)
+    texts = [(zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0, [*WORD.findall(lowered(t or "")), "\0end"]) for i, t in rows]
+    types = len({w for held, ws in texts if not held for w in ws})
+    tables: dict[tuple, list[int]] = {}  # (context, or None for the parent, word) -> customers of each table
+    totals, opened = Counter(), Counter()
+
+    def probability(context: str | None, word: str) -> float:
+        base = 1 / (types + 1) if context is None else probability(None, word)
+        d = discounts[context is None]
+        own = tables.get((context, word), ())
+        return (sum(own) - d * len(own) + (strength + d * opened[context]) * base) / (strength + totals[context])
+
+    def sit(context: str | None, word: str) -> None:
+        d, own = discounts[context is None], tables.setdefault((context, word), [])
+        base = 1 / (types + 1) if context is None else probability(None, word)
+        at = rng.choices(range(len(own) + 1), [*(k - d for k in own), (strength + d * opened[context]) * base])[0]
+        totals[context] += 1
+        if at < len(own):
+            own[at] += 1
+        else:
+            own.append(1)
+            opened[context] += 1
+            if context is not None:
+                sit(None, word)
+
+    def leave(context: str | None, word: str) -> None:
+        own = tables[context, word]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        totals[context] -= 1
+        if not own[at]:
+            del own[at]
+            opened[context] -= 1
+            if context is not None:
+                leave(None, word)
+
+    customers = [pair for held, ws in texts if not held for pair in zip(["\0start", *ws], ws, strict=False)]
+    for pair in customers:
+        sit(*pair)
+    pairs = {pair for _, ws in texts for pair in zip(["\0start", *ws], ws, strict=False)}
+    mean = dict.fromkeys(pairs, 0.0)
+    for k in range(sweeps):
+        rng.shuffle(customers)
+        for pair in customers:
+            leave(*pair)
+            sit(*pair)
+        if k >= burn_in:
+            for pair in pairs:
+                mean[pair] += probability(*pair) / (sweeps - burn_in)
+    return [sum(log10(mean[pair]) for pair in zip(["\0start", *ws], ws, strict=False)) for _, ws in texts]
