@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +17,16 @@ TASK_BYTES = 64 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one."""
+    """The shared folder of ``spark.checkpoint.dir``; only where none is set and all runs on this machine, as in tests, a temporary one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = getattr(sc, "_tessera_checkpoint_dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        sc._tessera_checkpoint_dir = where
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = getattr(sc, "_tessera_checkpoint_dir", None)
+        if where is None:
+            where = sc._tessera_checkpoint_dir = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -46,6 +52,17 @@ def tasks(df: DataFrame, expansion: float = 1.0) -> int:
     return max(asked, min(200_000, math.ceil(size * expansion / TASK_BYTES))) if known else asked
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprint.
 
 A record is a JSON object in any of the layouts below. The hash of its nested field paths, those that some
-layout knows, picks a declarative mapping, which turns the record into canonical (role, text) turns. These are
+layout knows, picks a declarative mapping, which turns the record into canonical (role, text) turns. A record that has the
+fields of several layouts goes by the first of them, and its other fields play no part. The turns are
 written in one template, with spans of the assistant's texts as the loss mask:
 
     <|turn|>role LF text <|end|> LF
@@ -9,7 +10,7 @@ written in one template, with spans of the assistant's texts as the loss mask:
 Inside roles and texts a backslash is doubled and ``<|`` becomes ``\\l`` (in roles, a line feed ``\\n`` too), so
 no control string can come from a text, and reading back gives every text as it was.
 
-Defined results: null texts and roles are empty; turns stand by turn number, then role, then text, nulls first;
+Defined results: null texts and roles are empty, and a field that is null is there; in a list of turns, what is no object is a turn without role; turns stand by turn number, then role, then text, nulls first;
 repeated rows are repeated turns; a record whose paths match no mapping has a null layout and no turns;
 an empty table gives no conversations; other columns play no part; a text of any length is handled whole. A
 conversation is one output row, so its own size is what a task holds.
@@ -77,7 +78,7 @@ def paths(value: object, at: str = "") -> set[str]:
         return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
     if isinstance(value, list):
         return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at} if value is not None else set()
+    return {at}
 
 
 def fingerprint(found: Iterable[str]) -> str:
@@ -90,15 +91,18 @@ MAPPINGS = {fingerprint(layout.required + extra): layout for layout in LAYOUTS f
 
 def canonical(record: dict) -> tuple[str, Layout | None, list[tuple[str, str]]]:
     """The fingerprint, the mapping it picks, and the turns."""
-    mark = fingerprint(paths(record) & _KNOWN)
+    found = paths(record) & _KNOWN
+    mark = fingerprint(found)
     layout = MAPPINGS.get(mark)
+    if layout is None:
+        layout = next((x for x in LAYOUTS if found.issuperset(x.required)), None)
     if layout is None:
         return mark, None, []
     text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     turns = [("system", text(record["system"]))] if record.get("system") is not None else []
     if layout.list:
         array, role, content = layout.list
-        turns += [(layout.roles.get(text(t.get(role)), text(t.get(role))), text(t.get(content))) for t in record[array]]
+        turns += [(layout.roles.get(text(t.get(role)), text(t.get(role))), text(t.get(content))) if isinstance(t, dict) else ("", text(t)) for t in record[array]]
     else:
         turns += [(role, "\n".join(text(record[p]) for p in parts if record.get(p) is not None)) for role, parts in layout.turns]
     return mark, layout, turns
@@ -149,10 +153,15 @@ def format_records(records: DataFrame, key: str, record: str) -> DataFrame:
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
-    """(conv_id, record): each conversation's rows as one record in the layout of messages."""
+    """(conv_id, record): each conversation's rows as one record. A question and its answer are a prompt and a response, with a system text before them an instruction and its output; all else are messages."""
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
     whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("all"))
-    return whole.select("conv_id", F.to_json(F.struct(F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("record"))
+    roles, text = F.transform("all", lambda t: t["role"]), lambda k: F.col("all")[k]["content"]
+    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")))
+    triple = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
+    messages = F.to_json(F.struct(F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")))
+    named = lambda *names: roles == F.array(*map(F.lit, names))
+    return whole.select("conv_id", F.when(named("user", "assistant"), pair).when(named("system", "user", "assistant"), triple).otherwise(messages).alias("record"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ the model grows with the corpus.
 
 Seating is sampled by Gibbs. In a sweep all customers of a dish leave their restaurant and are seated anew, given all other dishes'
 tables and the parent's predictive probabilities; only how many tables they take matters to any probability. Up to ``EXACT`` customers
-that number is drawn from its exact conditional distribution, which sums over all seatings by generalised Stirling numbers. A
-larger dish's customers are seated one after another by the restaurant's rule, which leaves out what the tables to come weigh; a test
-holds the difference below 0.2 % of the dish's customers. Those between two openings are passed over at once. Dishes of a restaurant take turns in two halves. First the contexts are seated under a plain parent, then the parent seats the tables that this left, and
+that number is drawn from its exact conditional distribution, which sums over all seatings by generalised Stirling numbers. A larger dish's
+further customers come by the restaurant's rule, which leaves out what the tables to come weigh; a test holds the difference below 0.2 % of the
+dish's customers. Dishes of a restaurant take turns in two halves. First the contexts are seated under a plain parent, then the parent seats the tables that this left, and
 then the contexts are seated under that parent; their predictive probabilities are averaged over the sweeps after burn-in. They sum to 1 over all words and the
 unseen one.
 
@@ -18,8 +18,9 @@ Discounts follow from the numbers of dishes with one and with two customers, for
 How it is dealt. A pass counts words; words above 1/131,072 of all tokens, a bounded table, get short codes. A second pass sends each
 token once, with its context and its document's number, to the part that holds the context; the tokens of equal pairs are packed together. This exchange is read twice in
 one plan: for the first seating, whose tables go to the parts that hold the words, and for the second, with the parent's answers, which scores the tokens too and sends back sums by document.
-A context with more than half a part's share of the tokens is dealt over several parts by a hash of its words. Each of these takes the
-restaurant's tables to be so many times its own ones. A repeated task repeats its random numbers.
+A context with more than half a part's share of the tokens is dealt over several parts by a hash of its words. In the first
+seating each of these takes the restaurant's tables to be so many times its own ones; in the second it has the true number that the first left,
+so that such a context's probabilities sum to 1 but for what its tables change from one seating to the other. A repeated task repeats its random numbers.
 
 Defined results: a null or empty text has the end as its only token; repeated rows count, and are scored, each for itself; a null
 doc_id is hashed as an empty text, which holds it out; without training documents all counts are 0 and all words have the unseen one's
@@ -195,21 +196,15 @@ def _exact(customers: np.ndarray, others: np.ndarray, log_parent: np.ndarray, di
     return out
 
 
-def _one_by_one(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after the customers of each dish sat down one after another; between two openings the tables do not change, so those who only join are passed over."""
-    tables, seated = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64)
-    left = np.flatnonzero(customers > 1)
+def _beyond(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, first: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after the customers beyond the first ``EXACT`` came in turn, by the restaurant's rule; a 64th of those seated at a time."""
+    tables, seated, left = first.copy(), EXACT, np.flatnonzero(customers > EXACT)
     while len(left):
+        come = np.minimum(seated // 64, customers[left] - seated)
         opens = (strength + discount * (others[left] + tables[left])) * parent[left]
-        joins = seated[left] - discount * tables[left]
-        # none of the next m opens with probability (joins / (joins + m)) ** opens, nearly
-        ahead = joins * np.expm1(np.minimum(-np.log(rng.random(len(left))) / opens, 60))
-        come = np.minimum(ahead, customers[left] - seated[left]).astype(np.int64)
-        seated[left] += come
-        left = left[seated[left] < customers[left]]
-        seated[left] += 1
-        tables[left] += 1
-        left = left[seated[left] < customers[left]]
+        tables[left] += rng.binomial(come, opens / (opens + seated + come / 2 - discount * tables[left]))
+        seated += seated // 64
+        left = left[customers[left] > seated]
     return tables
 
 
@@ -225,7 +220,9 @@ def reseat(customers: np.ndarray, tables: np.ndarray, opened: np.ndarray, parent
             some = order[lo:hi]
             out[some] = _exact(customers[some], others[some], log_parent[some], discount, strength, weights, rng)
     some = order[edge[-1] :]
-    out[some] = _one_by_one(customers[some], others[some], parent[some], discount, strength, rng)
+    if len(some):
+        first = _exact(np.full(len(some), EXACT), others[some], log_parent[some], discount, strength, weights, rng)
+        out[some] = _beyond(customers[some], others[some], parent[some], first, discount, strength, rng)
     return out
 
 
@@ -268,6 +265,9 @@ class Contexts:
         at = _find(words, names)
         self.total = np.where(at >= 0, totals[at] if len(totals) else 0, here)
         self.scale = np.where(at >= 0, fans[at] if len(fans) else 1, 1).astype(float)
+        self.names, self.split = names, np.flatnonzero(self.scale > 1)
+        #: tables and discounts of the restaurants in ``split``, once they are known
+        self.elsewhere: tuple[np.ndarray, np.ndarray] | None = None
         self.discount = discount_of(self.customers)
         self.weights = stirling(self.discount, min(EXACT, max(2, int(self.customers.max(initial=2)))))
         self.rng = np.random.default_rng([config.seed, seed])
@@ -277,7 +277,16 @@ class Contexts:
 
     def opened(self) -> np.ndarray:
         """Tables of each restaurant."""
-        return np.bincount(self.context, self.tables, len(self.total)) * self.scale
+        found = np.bincount(self.context, self.tables, len(self.total)) * self.scale
+        found[self.split] = np.minimum(found, self.total)[self.split] if self.elsewhere is None else self.elsewhere[0]
+        return found
+
+    def discounts(self) -> np.ndarray:
+        """Discounts of all tables of each restaurant."""
+        found = self.discount * self.opened()
+        if self.elsewhere is not None:
+            found[self.split] = self.elsewhere[1]
+        return found
 
     def sweep(self, parent: np.ndarray) -> None:
         """``parent`` has the parent's probability of each pair's word."""
@@ -293,7 +302,7 @@ class Contexts:
         for k in range(self.config.sweeps):
             self.sweep(parent)
             if k >= self.config.burn_in:
-                back = (strength + self.discount * self.opened()) / (strength + self.total)
+                back = (strength + self.discounts()) / (strength + self.total)
                 mean += (self.customers - self.discount * self.tables) / (strength + self.total)[self.context] + back[self.context] * parent
         return mean / sweeps
 
@@ -404,12 +413,21 @@ def _first_seating(table: tuple[np.ndarray, np.ndarray], train_tokens: int, type
         for _ in range(config.burn_in):
             found.sweep(parent)
         own, tables = found.to_parent()
-        out = [(label, b, own[some].tobytes(), T.pack(tables[some])) for b, some in _by_part(own, n)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["label", "b", "words", "tables"])
+        here = np.bincount(found.context, found.tables, len(found.total)).astype(np.int64)[found.split]
+        shared, split = found.names[found.split], dict(_by_part(found.names[found.split], n))
+        out = []
+        for b, some in _by_part(own, n):
+            out.append((label, b, own[some].tobytes(), T.pack(tables[some]), None, None))
+        for b, some in split.items():
+            out.append((label, b, None, None, shared[some].tobytes(), T.pack(here[some], here[some] * found.discount)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 6, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["label", "b", "words", "tables", "contexts", "opened"])
 
     return run
 
 
+SERVED = "label int, b int, words binary, tables binary, contexts binary, opened binary"
+
+
 def _by_part(words: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """The parts of the words that are there, and which ones each has."""
     where = T.buckets(T.mix(words), n)
@@ -424,14 +442,33 @@ def _parent_answers(types: int, config: PitmanYorConfig):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+        shared: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         part = 0
+
+        def row(label: int | None, seated: bytes | None = None, counts: bytes | None = None, opened: bytes | None = None, customers: float | None = None, discounts: float | None = None) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((label, part, seated, counts, opened, customers, discounts), kinds, strict=True)], ["label", "b", "seated", "counts", "opened", "customers", "discounts"])
+
         for batch in batches:
-            for label, b, words, tables in zip(*(batch.column(c).to_pylist() for c in ("label", "b", "words", "tables")), strict=True):
+            for label, b, words, tables, contexts, opened in zip(*(batch.column(c).to_pylist() for c in ("label", "b", "words", "tables", "contexts", "opened")), strict=True):
                 part = b
                 if label is None:
                     known = [np.frombuffer(words, np.uint64), T.unpack(tables)[0].astype(np.int64)]
-                else:
+                elif words is not None:
                     asked.append((label, np.frombuffer(words, np.uint64), T.unpack(tables)[0].astype(np.int64)))
+                else:
+                    shared.append((label, np.frombuffer(contexts, np.uint64), *T.unpack(opened)))
+        if shared:
+            shared.sort(key=lambda x: x[0])
+            names = np.unique(np.concatenate([x[1] for x in shared]))
+            tables, discounts = np.zeros(len(names), np.int64), np.zeros(len(names))
+            for _, own, some, less in shared:
+                at = np.searchsorted(names, own)
+                tables[at] += some.astype(np.int64)
+                discounts[at] += less
+            for label, own, _, _ in shared:
+                at = np.searchsorted(names, own)
+                yield row(label, opened=T.pack(own, tables[at], discounts[at]))
         if not asked:
             return
         asked.sort(key=lambda x: x[0])
@@ -439,18 +476,18 @@ def _parent_answers(types: int, config: PitmanYorConfig):
         customers = np.zeros(len(words), np.int64)
         for _, own, tables in asked:
             customers[np.searchsorted(words, own)] += tables
-        seated, discounts = parent_seating(customers, max(1, int((customers > 0).sum())) / max(1, types), types, config, part)
+        seated, less = parent_seating(customers, max(1, int((customers > 0).sum())) / max(1, types), types, config, part)
         at = _find(known[0], words)
         counts = np.where(at >= 0, known[1][at] if len(known[1]) else 0, 0)
         for label, own, _ in asked:
             to = np.searchsorted(words, own)
-            yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "b": pa.array([part], pa.int32()), "seated": [T.pack(seated[to].astype(np.float32))], "counts": [T.pack(counts[to])], "customers": pa.array([None], pa.float64()), "discounts": pa.array([None], pa.float64())})
-        yield pa.RecordBatch.from_pydict({"label": pa.array([None], pa.int32()), "b": pa.array([part], pa.int32()), "seated": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary()), "customers": [float(customers.sum())], "discounts": [discounts]})
+            yield row(label, T.pack(seated[to].astype(np.float32)), T.pack(counts[to]))
+        yield row(None, customers=float(customers.sum()), discounts=less)
 
     return run
 
 
-ANSWERS = "label int, b int, seated binary, counts binary, customers double, discounts double"
+ANSWERS = "label int, b int, seated binary, counts binary, opened binary, customers double, discounts double"
 
 
 def _scored(table: tuple[np.ndarray, np.ndarray], train_tokens: int, types: int, n: int, config: PitmanYorConfig):
@@ -464,8 +501,15 @@ def _scored(table: tuple[np.ndarray, np.ndarray], train_tokens: int, types: int,
         seated, counts = np.zeros(len(words)), np.zeros(len(words), np.int64)
         places = dict(_by_part(words, n))
         customers = discounts = 0.0
-        for b, s, c, customers, discounts in zip(*(answers[x].to_pylist() for x in ("b", "seated", "counts", "customers", "discounts")), strict=True):  # noqa: B007
-            seated[places[b]], counts[places[b]] = T.unpack(s)[0], T.unpack(c)[0]
+        shared = found.names[found.split]
+        found.elsewhere = np.zeros(len(shared)), np.zeros(len(shared))
+        for b, s, c, opened, customers, discounts in zip(*(answers[x].to_pylist() for x in ("b", "seated", "counts", "opened", "customers", "discounts")), strict=True):  # noqa: B007
+            if opened is None:
+                seated[places[b]], counts[places[b]] = T.unpack(s)[0], T.unpack(c)[0]
+            else:
+                names, tables, less = T.unpack(opened)
+                at = np.searchsorted(shared, names)
+                found.elsewhere[0][at], found.elsewhere[1][at] = tables, less
         parent = (seated + (config.strength + discounts) / (types + 1)) / (config.strength + customers)
         model = np.log10(found.predictive(parent[found.word_of]))
         base = np.log10((counts + 0.1) / divisor)[found.word_of]
@@ -524,10 +568,11 @@ def score_documents(docs: DataFrame, config: PitmanYorConfig = PitmanYorConfig()
 
     # dealt by a hash of the labels, which are chosen to fall on different tasks
     packed = docs.mapInArrow(_packed(table, train_tokens, n, labels(n)), PACKED).repartition(n, "label")
-    served = packed.groupBy("label").applyInArrow(_first_seating(table, train_tokens, types, n, config), "label int, b int, words binary, tables binary")
-    known = counted.select(F.lit(None).cast("int").alias("label"), "b", "words", F.col("counts").alias("tables"))
+    served = packed.groupBy("label").applyInArrow(_first_seating(table, train_tokens, types, n, config), SERVED)
+    none = F.lit(None).cast("binary")
+    known = counted.select(F.lit(None).cast("int").alias("label"), "b", "words", F.col("counts").alias("tables"), none.alias("contexts"), none.alias("opened"))
     answers = known.unionByName(served).repartitionById(n, "b").mapInArrow(_parent_answers(types, config), ANSWERS)
     totals = answers.where("label is null").agg(F.sum("customers").alias("customers"), F.sum("discounts").alias("discounts"))  # one row
-    replies = answers.where("label is not null").select("label", "b", "seated", "counts").join(F.broadcast(totals))
+    replies = answers.where("label is not null").select("label", "b", "seated", "counts", "opened").join(F.broadcast(totals))
     sums = packed.groupBy("label").cogroup(replies.groupBy("label")).applyInArrow(_scored(table, train_tokens, types, n, config), SUMS)
     return sums.repartition(n, "name").mapInArrow(_gathered(train_tokens), SCHEMA)

@@ -75,3 +75,21 @@ def test_turn_order_nulls_and_repeats(spark):
     assert chat.parse(formatted[1]) == [("user", "first"), ("user", "<|end|>\\"), ("assistant", ""), ("assistant", "")]
     assert chat.parse(formatted[None]) == [("", "x")]
     assert chat.conversation_records(df.limit(0)).count() == 0
+
+
+def test_layouts_with_nulls_and_with_each_others_fields():
+    of = lambda record: (lambda mark, layout, turns: (layout and layout.name, turns))(*chat.canonical(record))
+    assert of({"prompt": None, "response": "x"}) == ("prompt and response", [("user", ""), ("assistant", "x")])
+    assert of({"messages": [{"role": None, "content": None}]}) == ("messages", [("", "")])
+    assert of({"prompt": "p", "messages": [{"role": "user", "content": "hi"}, None, "loose"]}) == ("messages", [("user", "hi"), ("", ""), ("", "loose")])
+    assert of({"prompt": "p", "response": "r", "completion": "c"}) == ("prompt and response", [("user", "p"), ("assistant", "r")])
+    assert of({"instruction": None, "input": "i", "output": None, "system": None}) == ("instruction", [("user", "i"), ("assistant", "")])
+    for record in ({"messages": []}, {"messages": None}, {"messages": {"role": "user", "content": "x"}}, {}):
+        assert of(record) == (None, [])
+
+
+def test_conversations_take_their_layouts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", None), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "human", "x"), (None, 0, "user", "long " * 50_000), (None, 1, "assistant", None)]
+    records = chat.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.key: (r.layout, chat.parse(r.formatted)) for r in chat.format_records(records, "conv_id", "record").collect()}
+    assert got == {1: ("prompt and response", [("user", "q"), ("assistant", "a")]), 2: ("instruction", [("system", ""), ("user", "q"), ("assistant", "a")]), 3: ("messages", [("human", "x")]), None: ("prompt and response", [("user", "long " * 50_000), ("assistant", "")])}
