@@ -4,63 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import blocks as B
 from tessera.operators import coding, fidelity, models, ordered, search
+from tessera.plans import planes, streams
+from tessera.plans.catalogue import BAND, COEF, HIGH, INTERVAL, LIMIT, LOW, MIDDLE, ORACLE_SQL, PX, QUANT, QUERIES, SCENE, SERIES, lift_sql, quant_sql, query
 from tessera.sources import container, tables
 from tessera.streaming import sessions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Steps of the low, middle and high bands, the zero limit, the scene threshold and the longest group.
-LOW, MIDDLE, HIGH, LIMIT, SCENE, INTERVAL = 4, 8, 12, 100, 5000, 15
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-# SQL pieces, in DuckDB's dialect
-
-_PX = "px AS (SELECT frame, p // 8 AS y, p % 8 AS x, v FROM (SELECT vec_id AS frame, CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS v, unnest(range(64)) AS p FROM embeddings))"
-_SERIES = "series AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
-
-
-def _lift_sql(name: str, source: str, line: str, along: str) -> str:
-    """CTEs that lift every line of ``source`` (frame, y, x, v); the result is ``name``."""
-    a = lambda i: f"a[{i + 1}]"
-    h = ", ".join(f"{a(2 * i + 1)} - (({a(2 * i)} + {a(2 * min(i + 1, 3))} + {i % 2}) >> 1) AS h{i}" for i in range(4))
-    low = ", ".join(f"{a(2 * i)} + ((h{max(i - 1, 0)} + h{i} + 1 + {i % 2}) >> 2)" for i in range(4))
-    return f"""{name}_a AS (SELECT frame, {line}, list(v ORDER BY {along}) AS a FROM {source} GROUP BY frame, {line}),
-{name}_h AS (SELECT frame, {line}, a, {h} FROM {name}_a),
-{name} AS (SELECT frame, {line}, unnest(range(8)) AS {along}, unnest([{low}, h0, h1, h2, h3]) AS v FROM {name}_h)"""
-
-
-_COEF = f"{_PX},\n{_lift_sql('lr', 'px', 'y', 'x')},\n{_lift_sql('coef', 'lr', 'x', 'y')}"
-_BAND = "CASE WHEN y >= 4 AND x >= 4 THEN 'HH' WHEN y >= 4 THEN 'LH' WHEN x >= 4 THEN 'HL' ELSE 'LL' END"
-
-
-def _quant_sql(v: str, step: int, bias: int) -> str:
-    return f"(CASE WHEN {v} < 0 THEN -1 ELSE 1 END * greatest(0, (abs({v}) * {65536 // step} + {bias}) >> 16))"
-
-
-_ZIG = "(CASE WHEN {q} >= 0 THEN 2 * {q} ELSE -2 * {q} - 1 END)"
-_QUANT = f"""{_COEF},
-quant AS (SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN {_quant_sql('v', LOW, 32768)} WHEN 'HH' THEN {_ZIG.format(q=_quant_sql('v', HIGH, 8192))} ELSE {_ZIG.format(q=_quant_sql('v', MIDDLE, 16384))} END AS v FROM coef)"""
-
-
 def _coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.transform_blocks(tables.blocks(spark, sf_dir))
 
@@ -72,28 +26,28 @@ def _quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Blocks
 
 
-@query(f"WITH {_COEF} SELECT frame, y, x, v FROM coef")
+@query(f"WITH {COEF} SELECT frame, y, x, v FROM coef")
 def block_transform8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(_coefs(spark, sf_dir))
 
 
-@query(f"WITH {_PX} SELECT frame, y, x, v FROM px")
+@query(f"WITH {PX} SELECT frame, y, x, v FROM px")
 def block_roundtrip8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(_coefs(spark, sf_dir).withColumn("coef", B.inverse(F.col("coef"))))
 
 
-@query(f"WITH {_QUANT} SELECT frame, y, x, v FROM quant")
+@query(f"WITH {QUANT} SELECT frame, y, x, v FROM quant")
 def block_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(_quantised(spark, sf_dir))
 
 
-@query(f"WITH {_QUANT} SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN v * {LOW} ELSE (CASE WHEN v % 2 = 0 THEN v // 2 ELSE -((v + 1) // 2) END) * (CASE {_BAND} WHEN 'HH' THEN {HIGH} ELSE {MIDDLE} END) END AS v FROM quant")
+@query(f"WITH {QUANT} SELECT frame, y, x, CASE {BAND} WHEN 'LL' THEN v * {LOW} ELSE (CASE WHEN v % 2 = 0 THEN v // 2 ELSE -((v + 1) // 2) END) * (CASE {BAND} WHEN 'HH' THEN {HIGH} ELSE {MIDDLE} END) END AS v FROM quant")
 def block_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(B.dequantise_blocks(_quantised(spark, sf_dir), LOW, MIDDLE, HIGH))
 
 
-@query(f"""WITH {_COEF},
-q AS (SELECT frame, y, x, CASE {_BAND} WHEN 'LL' THEN {_quant_sql('v', 64, 32768)} ELSE {_quant_sql('v', 64, 0)} END AS v, {_BAND} AS band FROM coef),
+@query(f"""WITH {COEF},
+q AS (SELECT frame, y, x, CASE {BAND} WHEN 'LL' THEN {quant_sql('v', 64, 32768)} ELSE {quant_sql('v', 64, 0)} END AS v, {BAND} AS band FROM coef),
 quads AS (SELECT frame, ((y % 4) // 2) * 2 + (x % 4) // 2 AS k, max(abs(v)) AS m FROM q WHERE band <> 'LL' GROUP BY ALL),
 flags AS (SELECT frame, max(CASE WHEN band <> 'LL' THEN abs(v) END) <= 1 AND max(CASE WHEN band = 'LL' THEN abs(v) END) = 0 AS is_zero FROM q GROUP BY frame)
 SELECT f.frame, f.is_zero, bool_or(k.m = 0) AS is_split, CAST((SELECT CASE WHEN f.is_zero THEN 0 ELSE sum(abs(v)) END FROM q WHERE q.frame = f.frame) AS BIGINT) AS left_over
@@ -103,12 +57,12 @@ def zero_block_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.zero_blocks(coarse, 1).select("frame", "is_zero", "is_split", F.aggregate("coef", F.lit(0).cast("long"), lambda s, v: s + F.abs(v)).alias("left_over"))
 
 
-@query(f"WITH {_COEF}, e AS (SELECT frame, {_BAND} AS band, sum(abs(v)) AS e FROM coef GROUP BY ALL) SELECT frame, CAST(sum(e) FILTER (WHERE band = 'HL') AS BIGINT) AS hl, CAST(sum(e) FILTER (WHERE band = 'LH') AS BIGINT) AS lh, CAST(sum(e) FILTER (WHERE band = 'HH') AS BIGINT) AS hh, CAST(sum(e) FILTER (WHERE band <> 'LL') AS BIGINT) AS energy FROM e GROUP BY frame")
+@query(f"WITH {COEF}, e AS (SELECT frame, {BAND} AS band, sum(abs(v)) AS e FROM coef GROUP BY ALL) SELECT frame, CAST(sum(e) FILTER (WHERE band = 'HL') AS BIGINT) AS hl, CAST(sum(e) FILTER (WHERE band = 'LH') AS BIGINT) AS lh, CAST(sum(e) FILTER (WHERE band = 'HH') AS BIGINT) AS hh, CAST(sum(e) FILTER (WHERE band <> 'LL') AS BIGINT) AS energy FROM e GROUP BY frame")
 def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.band_energy(_coefs(spark, sf_dir))
 
 
-@query(f"WITH {_COEF}, q AS (SELECT frame, sum(abs(v)) AS e FROM coef WHERE {_BAND} <> 'LL' GROUP BY frame), r AS (SELECT frame, CAST(e * 10 // (SELECT greatest(1, CAST(sum(e) AS BIGINT) // count(*)) FROM q) AS BIGINT) AS r, frame % 8 AS c, (frame // 8) % 6 AS w FROM q), p AS (SELECT frame, r, r + CASE WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 >= 7 THEN 2 WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 <= 4 THEN -3 ELSE 0 END AS t FROM r) SELECT frame, CASE WHEN t <= 6 THEN 0 WHEN t <= 8 THEN 1 WHEN t <= 12 THEN 2 WHEN t <= 15 THEN 3 ELSE 4 END AS level FROM p")
+@query(f"WITH {COEF}, q AS (SELECT frame, sum(abs(v)) AS e FROM coef WHERE {BAND} <> 'LL' GROUP BY frame), r AS (SELECT frame, CAST(e * 10 // (SELECT greatest(1, CAST(sum(e) AS BIGINT) // count(*)) FROM q) AS BIGINT) AS r, frame % 8 AS c, (frame // 8) % 6 AS w FROM q), p AS (SELECT frame, r, r + CASE WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 >= 7 THEN 2 WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 <= 4 THEN -3 ELSE 0 END AS t FROM r) SELECT frame, CASE WHEN t <= 6 THEN 0 WHEN t <= 8 THEN 1 WHEN t <= 12 THEN 2 WHEN t <= 15 THEN 3 ELSE 4 END AS level FROM p")
 def aq_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     energy = B.band_energy(_coefs(spark, sf_dir)).select("frame", "energy")
     mean = energy.agg(F.greatest(F.lit(1).cast("long"), S.div(F.sum("energy"), F.count("*"))).alias("mean"))
@@ -122,13 +76,13 @@ def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.step_table(every)
 
 
-@query(f"WITH {_PX} SELECT frame, CAST(y // 2 * 4 + x // 2 AS INT) AS position, v - 128 AS v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
+@query(f"WITH {PX} SELECT frame, CAST(y // 2 * 4 + x // 2 AS INT) AS position, v - 128 AS v FROM px WHERE y % 2 = 0 AND x % 2 = 0")
 def plane_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = tables.blocks(spark, sf_dir).select("frame", F.posexplode(B.decimate(F.col("coef"))).alias("position", "v"))
     return small.select("frame", "position", F.col("v").cast("long").alias("v"))
 
 
-_DIFF = f"{_PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x), s AS (SELECT frame, CAST(sum(abs(v - w)) AS BIGINT) // 8 AS sad FROM two GROUP BY frame), o AS (SELECT frame, CAST(sum(c) AS BIGINT) // 64 AS occlusion FROM (SELECT frame, x, abs(sum(v) - sum(w)) AS c FROM two GROUP BY frame, x) GROUP BY frame)"
+_DIFF = f"{PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x), s AS (SELECT frame, CAST(sum(abs(v - w)) AS BIGINT) // 8 AS sad FROM two GROUP BY frame), o AS (SELECT frame, CAST(sum(c) AS BIGINT) // 64 AS occlusion FROM (SELECT frame, x, abs(sum(v) - sum(w)) AS c FROM two GROUP BY frame, x) GROUP BY frame)"
 
 
 @query(f"WITH {_DIFF}, w AS (SELECT s.frame, s.sad, o.occlusion, frame % 8 * 2048 // 7 - 1024 AS cx, frame // 8 % 6 * 2048 // 5 - 1024 AS cy FROM s JOIN o USING (frame)), k AS (SELECT *, 1024 + least(1024, CAST(floor(sqrt(cx * cx + cy * cy)) AS BIGINT) * 1024 // 1448) * 512 // 1024 AS weight FROM w) SELECT frame, CAST(CASE WHEN sad >= 1500 OR occlusion >= 2 THEN greatest(1, weight * 8 // 1024 // 2) ELSE weight * 8 // 1024 END AS BIGINT) AS \"limit\", sad < weight * 150 // 1024 AS skipped FROM k")
@@ -137,7 +91,7 @@ def skip_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.skip_limits(rows, 48, 8, 6, 8).select("frame", "limit", "skipped")
 
 
-@query(f"WITH {_PX}, keep AS (SELECT vec_id AS frame FROM embeddings WHERE label = (SELECT min(label) FROM embeddings)) SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM px WHERE frame IN (SELECT frame FROM keep) GROUP BY frame")
+@query(f"WITH {PX}, keep AS (SELECT vec_id AS frame FROM embeddings WHERE label = (SELECT min(label) FROM embeddings)) SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM px WHERE frame IN (SELECT frame FROM keep) GROUP BY frame")
 def frame_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings")
     least = rows.agg(F.min("label").alias("least"))
@@ -147,7 +101,7 @@ def frame_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Prediction, runs and tokens
 
-_MED = f"""{_PX},
+_MED = f"""{PX},
 n AS (SELECT a.frame, a.y, a.x, a.v, l.v AS l, u.v AS u, c.v AS c FROM px a LEFT JOIN px l ON l.frame = a.frame AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN px u ON u.frame = a.frame AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN px c ON c.frame = a.frame AND c.y = a.y - 1 AND c.x = a.x - 1)"""
 
 
@@ -156,12 +110,12 @@ def dpcm_med(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(ordered.residuals(tables.blocks(spark, sf_dir)))
 
 
-@query(f"WITH {_PX} SELECT frame, y, x, v FROM px")
+@query(f"WITH {PX} SELECT frame, y, x, v FROM px")
 def dpcm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(ordered.from_residuals(ordered.residuals(tables.blocks(spark, sf_dir))))
 
 
-_SPARSE = f"{_QUANT}, sparse AS (SELECT frame, y * 8 + x AS p, CASE WHEN abs(v) < 20 THEN 0 ELSE v END AS v FROM quant)"
+_SPARSE = f"{QUANT}, sparse AS (SELECT frame, y * 8 + x AS p, CASE WHEN abs(v) < 20 THEN 0 ELSE v END AS v FROM quant)"
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +135,7 @@ def run_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BITS = "(CASE WHEN {v} = 0 THEN 0 ELSE length(bin({v})) END)"
 
 
-@query(f"""WITH {_SERIES}, s AS (SELECT event_id, v - 15000 AS v, abs(v - 15000) AS m, CASE WHEN v < 15000 THEN 1 ELSE 0 END AS g FROM series), b AS (SELECT *, greatest(m - 16, 0) AS r, {_BITS.format(v='greatest(m - 16, 0)')} AS bits FROM s)
+@query(f"""WITH {SERIES}, s AS (SELECT event_id, v - 15000 AS v, abs(v - 15000) AS m, CASE WHEN v < 15000 THEN 1 ELSE 0 END AS g FROM series), b AS (SELECT *, greatest(m - 16, 0) AS r, {_BITS.format(v='greatest(m - 16, 0)')} AS bits FROM s)
 SELECT event_id, v, CAST(CASE WHEN v = 0 THEN 0 WHEN m <= 15 THEN 2 * m - 1 + g ELSE 32 + bits END AS INT) AS token, CAST(CASE WHEN m <= 15 THEN 0 ELSE (CASE WHEN r = 0 THEN 0 ELSE r - (1 << (bits - 1)) END) * 2 + g END AS BIGINT) AS bypass, CAST(CASE WHEN m <= 15 THEN 0 ELSE greatest(bits, 1) END AS INT) AS width, v AS back FROM b""")
 def signed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.series(spark, sf_dir).select("event_id", (F.col("v") - 15000).cast("long").alias("v"))
@@ -189,7 +143,7 @@ def signed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "v", token.alias("token"), bypass.alias("bypass"), width.alias("width")).withColumn("back", S.signed_value(F.col("token"), F.col("bypass")))
 
 
-@query(f"""WITH {_SERIES}, b AS (SELECT event_id, v, greatest(v - 32, 0) AS r, {_BITS.format(v='greatest(v - 32, 0)')} AS bits FROM series)
+@query(f"""WITH {SERIES}, b AS (SELECT event_id, v, greatest(v - 32, 0) AS r, {_BITS.format(v='greatest(v - 32, 0)')} AS bits FROM series)
 SELECT event_id, v, CAST(CASE WHEN v < 32 THEN v ELSE 32 + bits END AS INT) AS token, CAST(CASE WHEN r = 0 THEN 0 ELSE r - (1 << (bits - 1)) END AS BIGINT) AS bypass, CAST(greatest(bits - 1, 0) AS INT) AS width, v AS back FROM b""")
 def unsigned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.series(spark, sf_dir).select("event_id", F.col("v").cast("long").alias("v"))
@@ -197,7 +151,7 @@ def unsigned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "v", token.alias("token"), bypass.alias("bypass"), width.alias("width")).withColumn("back", S.unsigned_value(F.col("token"), F.col("bypass")))
 
 
-@query(f"WITH {_SERIES} SELECT user_id, event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS lane FROM series")
+@query(f"WITH {SERIES} SELECT user_id, event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS lane FROM series")
 def lane_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.lanes(tables.series(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", F.col("lane").cast("int").alias("lane"))
 
@@ -242,7 +196,7 @@ def model_cost_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.choose(models.models(models.histogram(_tokens(spark, sf_dir), "ctx"), "ctx"), "ctx")
 
 
-@query(f"WITH {_MODEL}, cums AS (SELECT token, freq, coalesce(sum(freq) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM model WHERE ctx = 0), {_SERIES} SELECT s.event_id, CAST(s.v % 16384 AS BIGINT) AS slot, c.token FROM series s JOIN cums c ON s.v % 16384 >= c.cum AND s.v % 16384 < c.cum + c.freq")
+@query(f"WITH {_MODEL}, cums AS (SELECT token, freq, coalesce(sum(freq) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM model WHERE ctx = 0), {SERIES} SELECT s.event_id, CAST(s.v % 16384 AS BIGINT) AS slot, c.token FROM series s JOIN cums c ON s.v % 16384 >= c.cum AND s.v % 16384 < c.cum + c.freq")
 def slot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = models.rows_of(models.models(models.histogram(_tokens(spark, sf_dir).where("ctx = 0"), "ctx"), "ctx"), "ctx")
     slots = tables.series(spark, sf_dir).select("event_id", (F.col("v") % 16384).cast("long").alias("slot"))
@@ -251,7 +205,7 @@ def slot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sequences
 
-_GOP = f"""{_SERIES},
+_GOP = f"""{SERIES},
 d AS (SELECT *, coalesce(lag(v) OVER w = v, false) AS is_copy, CASE WHEN coalesce(abs(v - lag(v) OVER w) > {SCENE}, false) THEN 1 ELSE 0 END AS cut FROM series WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scene FROM d),
 p AS (SELECT *, CAST((row_number() OVER (PARTITION BY user_id, scene ORDER BY event_id) - 1) % {INTERVAL} AS INT) AS position FROM s),
@@ -264,7 +218,7 @@ def gop_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.segments(tables.series(spark, sf_dir), "user_id", "event_id", "v", SCENE, INTERVAL)
 
 
-@query(f"""WITH RECURSIVE {_SERIES}, n AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM series),
+@query(f"""WITH RECURSIVE {SERIES}, n AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM series),
 f AS (SELECT user_id, k, m, v AS fast, v AS slow FROM n WHERE k = 1
  UNION ALL SELECT n.user_id, n.k, n.m, ((CASE WHEN f.fast = 0 THEN n.v ELSE f.fast END) * 4 + n.v) // 5, ((CASE WHEN f.slow = 0 THEN n.v ELSE f.slow END) * 7 + n.v) // 8 FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
 SELECT user_id, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow FROM f WHERE k = m""")
@@ -272,7 +226,7 @@ def ema_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.smoothed(tables.series(spark, sf_dir), "user_id", "event_id", "v")
 
 
-@query(f"WITH {_SERIES}, l AS (SELECT user_id, event_id, CAST(least(v // 5000, 4) AS INT) AS level FROM series), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, level ORDER BY event_id) AS island FROM l) SELECT user_id, CAST(min(k) AS INT) AS start, level, count(*) AS length FROM n GROUP BY user_id, level, island")
+@query(f"WITH {SERIES}, l AS (SELECT user_id, event_id, CAST(least(v // 5000, 4) AS INT) AS level FROM series), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, level ORDER BY event_id) AS island FROM l) SELECT user_id, CAST(min(k) AS INT) AS start, level, count(*) AS length FROM n GROUP BY user_id, level, island")
 def aq_level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = tables.series(spark, sf_dir).withColumn("level", F.least(F.expr("v div 5000"), F.lit(4)).cast("int"))
     return ordered.level_runs(levels, "user_id", "event_id", "level")
@@ -281,7 +235,7 @@ def aq_level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = 16
 
 
-@query(f"""WITH {_PX}, b AS (SELECT frame * 64 + y * 8 + x AS p, v // 8 AS v FROM px), e AS (SELECT p, v, lag(v, 2) OVER w AS a2, lag(v) OVER w AS a1, lead(v) OVER w AS b1, lead(v, 2) OVER w AS b2, p % 64 AS i FROM b WINDOW w AS (PARTITION BY p // 64 ORDER BY p)),
+@query(f"""WITH {PX}, b AS (SELECT frame * 64 + y * 8 + x AS p, v // 8 AS v FROM px), e AS (SELECT p, v, lag(v, 2) OVER w AS a2, lag(v) OVER w AS a1, lead(v) OVER w AS b1, lead(v, 2) OVER w AS b2, p % 64 AS i FROM b WINDOW w AS (PARTITION BY p // 64 ORDER BY p)),
 r AS (SELECT *, i % 8 = 0 AND i > 0 AND abs(v - a1) < 22 AND abs(a2 - a1) * 2 < 22 AND abs(b1 - v) * 2 < 22 AS right_side, i % 8 = 7 AND i < 63 AND abs(b1 - v) < 22 AND abs(a1 - v) * 2 < 22 AND abs(b2 - b1) * 2 < 22 AS left_side FROM e)
 SELECT p // 64 AS frame, i AS position, CAST(CASE WHEN right_side THEN v - greatest(-11, least(11, (v - a1 + 1) >> 1)) WHEN left_side THEN v + greatest(-11, least(11, (b1 - v + 1) >> 1)) ELSE v END AS BIGINT) AS v FROM r""")
 def deblock_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +246,7 @@ def deblock_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Frames beside frames
 
-_PAIR = f"{_PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x)"
+_PAIR = f"{PX}, two AS (SELECT a.frame, a.y, a.x, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x)"
 
 
 @query(f"""WITH {_PAIR}, cols AS (SELECT frame, x, abs(sum(v) - sum(w)) AS c FROM two GROUP BY frame, x), o AS (SELECT frame, CAST(sum(c) AS BIGINT) // 64 AS occlusion FROM cols GROUP BY frame)
@@ -301,7 +255,7 @@ def frame_sad_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.frame_differences(tables.blocks(spark, sf_dir))
 
 
-_BEST = f"""{_PX}, offs AS (SELECT k, k // 5 - 2 AS dy, k % 5 - 2 AS dx FROM (SELECT unnest(range(25)) AS k)),
+_BEST = f"""{PX}, offs AS (SELECT k, k // 5 - 2 AS dy, k % 5 - 2 AS dx FROM (SELECT unnest(range(25)) AS k)),
 cost AS (SELECT a.frame, o.k, o.dx, o.dy, sum(abs(a.v - b.v)) AS cost FROM px a CROSS JOIN offs o JOIN px b ON b.frame = a.frame - 1 AND b.y = greatest(0, least(7, a.y + o.dy)) AND b.x = greatest(0, least(7, a.x + o.dx)) GROUP BY ALL),
 best AS (SELECT frame, dx, dy, CAST(cost AS BIGINT) AS cost FROM cost QUALIFY row_number() OVER (PARTITION BY frame ORDER BY cost, k) = 1)"""
 
@@ -318,7 +272,7 @@ def motion_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fidelity: each frame against its coarse reconstruction, as bytes
 
-_BYTES = f"{_QUANT.replace('quant AS', 'q0 AS')}, pairs AS (SELECT p.frame, p.y, p.x, greatest(0, least(255, 128 + p.v // 4)) AS a, greatest(0, least(255, 128 + (p.v + 6) // 16 * 4)) AS b FROM px p)"
+_BYTES = f"{QUANT.replace('quant AS', 'q0 AS')}, pairs AS (SELECT p.frame, p.y, p.x, greatest(0, least(255, 128 + p.v // 4)) AS a, greatest(0, least(255, 128 + (p.v + 6) // 16 * 4)) AS b FROM px p)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +348,7 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NUMBERS = f"WITH {_COEF}, c AS (SELECT frame, {_BAND} AS band, y * 8 + x AS p, lpad(hex(v + 32768), 4, '0') AS h FROM coef)"
+_NUMBERS = f"WITH {COEF}, c AS (SELECT frame, {BAND} AS band, y * 8 + x AS p, lpad(hex(v + 32768), 4, '0') AS h FROM coef)"
 
 
 @query(f"{_NUMBERS} SELECT 's' || (frame // 50) AS stream_id, CAST(frame % 50 AS BIGINT) AS frame_no, CASE WHEN frame % 10 = 0 THEN 'I' ELSE 'P' END AS kind, CASE WHEN frame % 10 <> 0 THEN '0102' END AS mvs, CASE WHEN frame % 10 > 4 THEN '7F' END AS ref_dir, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'LL') AS layer0, string_agg(h, '' ORDER BY p) FILTER (WHERE band IN ('HL', 'LH')) AS layer1, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'HH') AS layer2 FROM c GROUP BY frame")
@@ -408,7 +362,7 @@ def layer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.dropped_bytes(_packets(spark, sf_dir), 0)
 
 
-@query(f"WITH {_QUANT} SELECT frame, y * 8 + x AS position, CAST(CASE WHEN abs(v) < 32 THEN abs(v) ELSE 32 + {_BITS.format(v='(abs(v) - 32)')} END AS INT) AS token FROM quant")
+@query(f"WITH {QUANT} SELECT frame, y * 8 + x AS position, CAST(CASE WHEN abs(v) < 32 THEN abs(v) ELSE 32 + {_BITS.format(v='(abs(v) - 32)')} END AS INT) AS token FROM quant")
 def entropy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = lambda v: S.unsigned_token(F.abs(v))[0]
     rows = _quantised(spark, sf_dir).select("frame", F.transform("coef", token).alias("tokens"))
