@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.operators import planes as P
 
 
 def lift(samples: Column, half: int) -> Column:
@@ -54,8 +56,14 @@ def band(position: Column, side: int = 8) -> Column:
     return F.when(down & right, "HH").when(down, "LH").when(right, "HL").otherwise("LL")
 
 
-def transform_blocks(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("coef", forward(F.col("coef")))
+def transform_blocks(blocks: DataFrame, side: int = 8) -> DataFrame:
+    """forward() of every block, by a kernel over batches."""
+    return P.mapped(blocks.select("frame", "coef"), "frame long, coef array<int>", lambda b: [b.column("frame"), P.lists(P.forward(P.array(b.column("coef"), side, side)).astype("int32"), pa.int32())])
+
+
+def untransform_blocks(blocks: DataFrame, side: int = 8) -> DataFrame:
+    """inverse() of every block."""
+    return P.mapped(blocks.select("frame", "coef"), "frame long, coef array<int>", lambda b: [b.column("frame"), P.lists(P.inverse(P.array(b.column("coef"), side, side)).astype("int32"), pa.int32())])
 
 
 def quantise_blocks(blocks: DataFrame, low: int, middle: int, high: int, biases: tuple[int, int] = (16384, 8192)) -> DataFrame:
@@ -96,6 +104,12 @@ def band_energy(blocks: DataFrame) -> DataFrame:
     return blocks.select("frame", total("HL").alias("hl"), total("LH").alias("lh"), total("HH").alias("hh"), total("HL", "LH", "HH").alias("energy"))
 
 
+def mean_energy(energy: Column) -> Column:
+    """Mean of the measured energies, 1 at least; -1 marks those that are not."""
+    known = F.when(energy != -1, energy)
+    return F.greatest(F.lit(1).cast("long"), S.div(F.coalesce(F.sum(known), F.lit(0)), F.greatest(F.lit(1).cast("long"), F.count(known))))
+
+
 def step_table(bases: DataFrame) -> DataFrame:
     """(base, layer, chroma) -> steps and dead zones of the low, middle and high bands. Finer layers have coarser steps; chroma's are capped lower, and its dead zones are wider."""
     base, layer, chroma = F.col("base"), F.col("layer"), F.col("chroma")

@@ -7,29 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.operators import planes as P
 
 
 def residuals(blocks: DataFrame, side: int = 8) -> DataFrame:
     """Median edge prediction: first row from the left, first column from above, the first sample as it is."""
-
-    def one(v: Column, p: Column) -> Column:
-        a = F.col("coef")
-        left, up, corner = a[F.greatest(p - 1, F.lit(0))], a[F.greatest(p - side, F.lit(0))], a[F.greatest(p - side - 1, F.lit(0))]
-        return v - F.when(p == 0, 0).when(p < side, left).when(p % side == 0, up).otherwise(S.median_edge(left, up, corner))
-
-    return blocks.withColumn("coef", F.transform("coef", one))
+    return P.mapped(blocks.select("frame", "coef"), "frame long, coef array<long>", lambda b: [b.column("frame"), P.lists(P.median_residuals(P.array(b.column("coef"), side, side)))])
 
 
 def from_residuals(blocks: DataFrame, side: int = 8) -> DataFrame:
-    """Inverse of residuals(): each sample needs those before it, so it is a fold."""
-
-    def step(done: Column, v: Column) -> Column:
-        p = F.size(done)
-        left, up, corner = F.get(done, p - 1), F.get(done, p - side), F.get(done, p - side - 1)
-        guess = F.when(p == 0, 0).when(p < side, left).when(p % side == 0, up).otherwise(S.median_edge(left, up, corner))
-        return F.concat(done, F.array((v + guess).cast("int")))
-
-    return blocks.withColumn("coef", F.aggregate("coef", F.array().cast("array<int>"), step))
+    """Inverse of residuals(): each sample needs those before it, so all blocks of a batch go sample by sample together."""
+    return P.mapped(blocks.select("frame", "coef"), "frame long, coef array<long>", lambda b: [b.column("frame"), P.lists(P.from_median_residuals(P.array(b.column("coef"), side, side)))])
 
 
 def zero_runs(rows: DataFrame, key: str, place: str, value: str) -> DataFrame:
@@ -40,11 +28,12 @@ def zero_runs(rows: DataFrame, key: str, place: str, value: str) -> DataFrame:
     return at.select(key, place, (F.col("__at") - F.coalesce(before, F.lit(-1)) - 1).cast("int").alias("run"), F.col(value).alias("value"), F.when(before.isNull(), 0).otherwise(1).alias("context"))
 
 
-def expand_runs(pairs: DataFrame, key: str, place: str, length: int) -> DataFrame:
-    """Inverse of zero_runs() for groups of a known length: (key, position, value), zeros too."""
+def expand_runs(pairs: DataFrame, groups: DataFrame, key: str, place: str, length: int) -> DataFrame:
+    """Inverse of zero_runs() for groups of a known length: (key, position, value), zeros too; ``groups`` names all groups, those without a value as well."""
     w = W.partitionBy(key).orderBy(place).rowsBetween(W.unboundedPreceding, 0)
     put = pairs.select(key, (F.sum(F.col("run") + 1).over(w) - 1).alias("at"), "value")
-    packed = put.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
+    every = put.unionByName(groups.select(key, F.lit(-1).cast("long").alias("at"), F.lit(None).cast(put.schema["value"].dataType).alias("value")))
+    packed = every.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value")))).alias("m"))
     return packed.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)))).alias("position", "value"))
 
 
@@ -66,13 +55,6 @@ def segments(rows: DataFrame, key: str, order: str, value: str, threshold: int,
     return group.select(key, order, F.col("same").alias("is_copy"), (F.col("position") == 0).alias("is_key"), F.col("scene").cast("long").alias("scene"), F.col("gop").cast("long").alias("gop"), "position", (F.col("position") % 2).cast("int").alias("parity"), first.alias("reference"))
 
 
-def smoothed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, fast, slow): exponential averages (4a + x) / 5 and (7a + x) / 8 in integers, reseeded where they are 0. A fold over each group in order."""
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("all"))
-    ema = lambda weight: F.aggregate("all", F.lit(0).cast("long"), lambda a, x: S.div(F.when(a == 0, x[value].cast("long")).otherwise(a) * weight + x[value], weight + 1))
-    return packed.select(key, ema(4).alias("fast"), ema(7).alias("slow"))
-
-
 def level_runs(rows: DataFrame, key: str, order: str, level: str) -> DataFrame:
     """(key, start, level, length): runs of equal levels."""
     w = W.partitionBy(key).orderBy(order)

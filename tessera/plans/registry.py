@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from tessera.operators import coding, fidelity, models, ordered, search
 from tessera.plans import planes, streams
 from tessera.plans.catalogue import BAND, COEF, HIGH, INTERVAL, LIMIT, LOW, MIDDLE, ORACLE_SQL, PX, QUANT, QUERIES, SCENE, SERIES, lift_sql, quant_sql, query
 from tessera.sources import container, tables
+from tessera.sources.shared import shared_folder
 from tessera.streaming import sessions
 
 def _coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def block_transform8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PX} SELECT frame, y, x, v FROM px")
 def block_roundtrip8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.pixels(_coefs(spark, sf_dir).withColumn("coef", B.inverse(F.col("coef"))))
+    return tables.pixels(B.untransform_blocks(_coefs(spark, sf_dir)))
 
 
 @query(f"WITH {QUANT} SELECT frame, y, x, v FROM quant")
@@ -62,11 +61,21 @@ def band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.band_energy(_coefs(spark, sf_dir))
 
 
-@query(f"WITH {COEF}, q AS (SELECT frame, sum(abs(v)) AS e FROM coef WHERE {BAND} <> 'LL' GROUP BY frame), r AS (SELECT frame, CAST(e * 10 // (SELECT greatest(1, CAST(sum(e) AS BIGINT) // count(*)) FROM q) AS BIGINT) AS r, frame % 8 AS c, (frame // 8) % 6 AS w FROM q), p AS (SELECT frame, r, r + CASE WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 >= 7 THEN 2 WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 <= 4 THEN -3 ELSE 0 END AS t FROM r) SELECT frame, CASE WHEN t <= 6 THEN 0 WHEN t <= 8 THEN 1 WHEN t <= 12 THEN 2 WHEN t <= 15 THEN 3 ELSE 4 END AS level FROM p")
+_AQ_SAD = "CASE WHEN d.sad IS NULL THEN -1 ELSE d.sad // 64 END"
+
+
+@query(f"""WITH {COEF}, two AS (SELECT a.frame, a.v, b.v AS w FROM px a JOIN px b ON b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x), d AS (SELECT frame, CAST(sum(abs(v - w)) AS BIGINT) AS sad FROM two GROUP BY frame),
+q AS (SELECT frame, CASE WHEN frame % 11 = 10 THEN -1 ELSE sum(abs(v)) END AS e FROM coef WHERE {BAND} <> 'LL' GROUP BY frame),
+r AS (SELECT q.frame, CAST(e * 10 // (SELECT greatest(1, CAST(sum(e) AS BIGINT) // count(*)) FROM q WHERE e <> -1) AS BIGINT) AS r, q.frame % 8 AS c, (q.frame // 8) % 6 AS w, {_AQ_SAD} AS sad FROM q LEFT JOIN d ON d.frame = q.frame WHERE e <> -1),
+p AS (SELECT frame, r + CASE WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 >= 7 THEN 2 WHEN (abs(c - 4) + abs(w - 3)) * 10 // 7 <= 4 THEN -3 ELSE 0 END + CASE WHEN sad = -1 THEN 0 WHEN sad < 128 THEN 2 WHEN sad > 256 THEN CASE WHEN r <= 10 THEN -3 ELSE 2 END ELSE 0 END AS t FROM r)
+SELECT frame, CASE WHEN t <= 6 THEN 0 WHEN t <= 8 THEN 1 WHEN t <= 12 THEN 2 WHEN t <= 15 THEN 3 ELSE 4 END AS level FROM p""")
 def aq_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    energy = B.band_energy(_coefs(spark, sf_dir)).select("frame", "energy")
-    mean = energy.agg(F.greatest(F.lit(1).cast("long"), S.div(F.sum("energy"), F.count("*"))).alias("mean"))
-    return energy.join(F.broadcast(mean)).select("frame", S.aq_level(F.col("energy"), F.col("mean"), F.lit(-1), F.col("frame") % 8, F.expr("(frame div 8) % 6"), 8, 6).alias("level"))
+    """Every eleventh block is marked as not measured; blocks without a frame before have no motion."""
+    energy = B.band_energy(_coefs(spark, sf_dir)).select("frame", F.when(F.col("frame") % 11 == 10, -1).otherwise(F.col("energy")).alias("energy"))
+    mean = energy.agg(B.mean_energy(F.col("energy")).alias("mean"))
+    moved = search.frame_differences(tables.blocks(spark, sf_dir)).select("frame", S.div(F.col("sad"), 64).alias("sad"))
+    known = energy.where("energy <> -1").join(moved, "frame", "left").join(F.broadcast(mean))  # one row
+    return known.select("frame", S.aq_level(F.col("energy"), F.col("mean"), F.coalesce("sad", F.lit(-1)), F.col("frame") % 8, F.expr("(frame div 8) % 6"), 8, 6).alias("level"))
 
 
 @query("WITH b AS (SELECT b.base, l.layer, c.chroma FROM (SELECT DISTINCT p_size * 7 AS base FROM part) b, (SELECT unnest([0, 1, 2]) AS layer) l, (SELECT unnest([false, true]) AS chroma) c), m AS (SELECT *, CASE layer WHEN 2 THEN base ELSE base // 2 END AS mid, CASE layer WHEN 2 THEN base * 5 // 4 WHEN 1 THEN base ELSE base * 3 // 4 END AS hi, CASE layer WHEN 2 THEN base WHEN 1 THEN base // 6 ELSE base // 8 END AS lo FROM b) SELECT base, layer, chroma, CAST(CASE WHEN chroma THEN least(16, greatest(1, base // 8)) ELSE least(16, greatest(1, lo)) END AS BIGINT) AS low, CAST(least(CASE WHEN chroma THEN 24 ELSE 48 END, greatest(1, mid)) AS BIGINT) AS middle, CAST(least(CASE WHEN chroma THEN 48 ELSE 64 END, greatest(1, hi)) AS BIGINT) AS high, CASE WHEN chroma THEN [-8000, -16000, -32000][layer + 1] ELSE [16384, 8192, 0][layer + 1] END AS middle_zone, CASE WHEN chroma THEN [-16000, -32000, -64000][layer + 1] ELSE [8192, 0, -8000][layer + 1] END AS high_zone FROM m")
@@ -127,9 +136,10 @@ def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.zero_runs(_sparse(spark, sf_dir), "frame", "p", "v")
 
 
-@query(f"WITH {_SPARSE} SELECT frame, p AS position, v AS value FROM sparse WHERE frame IN (SELECT frame FROM sparse WHERE v <> 0)")
+@query(f"WITH {_SPARSE} SELECT frame, p AS position, v AS value FROM sparse")
 def run_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.expand_runs(ordered.zero_runs(_sparse(spark, sf_dir), "frame", "p", "v"), "frame", "p", 64)
+    sparse = _sparse(spark, sf_dir)
+    return ordered.expand_runs(ordered.zero_runs(sparse, "frame", "p", "v"), tables.blocks(spark, sf_dir).select("frame"), "frame", "p", 64)
 
 
 _BITS = "(CASE WHEN {v} = 0 THEN 0 ELSE length(bin({v})) END)"
@@ -159,7 +169,7 @@ def lane_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models
 
 _TOKENS = f"{_SPARSE}, t0 AS (SELECT y AS ctx, abs(v) AS v FROM quant), t AS (SELECT ctx, CAST(CASE WHEN v < 32 THEN v ELSE 32 + {_BITS.format(v='(v - 32)')} END AS INT) AS token FROM t0)"
-_HIST = f"{_TOKENS}, hist AS (SELECT ctx, token, CAST(least(count(*), 65535) AS BIGINT) AS n FROM t GROUP BY ALL)"
+_HIST = f"{_TOKENS}, hist AS (SELECT ctx, token, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL)"
 _MODEL = f"""{_HIST},
 grid AS (SELECT c.ctx, g.token, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT ctx FROM hist) c CROSS JOIN (SELECT CAST(unnest(range(64)) AS INT) AS token) g LEFT JOIN hist h ON h.ctx = c.ctx AND h.token = g.token),
 share AS (SELECT ctx, token, n, CASE WHEN n = 0 THEN 1 ELSE greatest(1, ((16384 - count(*) FILTER (WHERE n = 0) OVER w) * n) // CAST(sum(n) OVER w AS BIGINT)) END AS f FROM grid WINDOW w AS (PARTITION BY ctx)),
@@ -223,7 +233,7 @@ f AS (SELECT user_id, k, m, v AS fast, v AS slow FROM n WHERE k = 1
  UNION ALL SELECT n.user_id, n.k, n.m, ((CASE WHEN f.fast = 0 THEN n.v ELSE f.fast END) * 4 + n.v) // 5, ((CASE WHEN f.slow = 0 THEN n.v ELSE f.slow END) * 7 + n.v) // 8 FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
 SELECT user_id, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow FROM f WHERE k = m""")
 def ema_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.smoothed(tables.series(spark, sf_dir), "user_id", "event_id", "v")
+    return sessions.folded(tables.series(spark, sf_dir), "user_id", "event_id", ["v"], sessions.smoothed_step, "fast long, slow long", last_only=True)
 
 
 @query(f"WITH {SERIES}, l AS (SELECT user_id, event_id, CAST(least(v // 5000, 4) AS INT) AS level FROM series), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, level ORDER BY event_id) AS island FROM l) SELECT user_id, CAST(min(k) AS INT) AS start, level, count(*) AS length FROM n GROUP BY user_id, level, island")
@@ -377,17 +387,11 @@ def gop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.table(spark, sf_dir, "events")
     live = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     frames = live.select("user_id", "event_id", F.round(F.col("value") * 100).cast("int").alias("v"))
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/gop-stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "gop-stream")
     run = sessions.stream_sessions(frames, SCENE, INTERVAL).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
     return spark.read.schema(sessions.SESSIONS).parquet(f"{folder}/out")
 
 
-@query()
-def rate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = ordered.segments(tables.series(spark, sf_dir), "user_id", "event_id", "v", SCENE, INTERVAL).join(tables.series(spark, sf_dir), ["user_id", "event_id"])
-    return sessions.rate_steps(groups.select("user_id", "event_id", "is_key", F.abs(F.col("v") - F.col("reference")).alias("sad")), 1_000_000, 30, INTERVAL, 16)
-
-
 #: Transform, quantise and measure: the flagship is the energy of every band of every block.
 FLAGSHIP = band_energy

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.coding import grouped as variable_length
+
 #: Fixed values of the format: the magic, the header after its two length bytes, and the frame kinds.
 MAGIC = bytes((0x56, 0x45, 0x56, 0x43))
 HEADER = struct.Struct(">BHHBHBB")
@@ -44,14 +46,6 @@ def read_header(data: bytes) -> tuple[int, int, int, int]:
     return width, height, rate, 6 + size
 
 
-def variable_length(value: int) -> bytes:
-    """Groups of seven bits, the highest first; all but the last have the top bit set."""
-    out = [value & 0x7F]
-    while value := value >> 7:
-        out.append(value & 0x7F | 0x80)
-    return bytes(reversed(out))
-
-
 def read_variable_length(data: bytes, at: int) -> tuple[int, int]:
     value = 0
     for used in range(6):
@@ -152,3 +146,36 @@ def dropped_bytes(packets: DataFrame, highest: int) -> DataFrame:
     """(frames, kept_bytes, dropped_bytes) of a projection."""
     total = lambda names: sum((F.coalesce(F.sum(F.octet_length(n)), F.lit(0)) for n in names), F.lit(0).cast("long"))
     return packets.agg(F.count("*").alias("frames"), total([*PAYLOADS[:2], *(f"layer{k}" for k in range(highest + 1))]).cast("long").alias("kept_bytes"), total([f"layer{k}" for k in range(highest + 1, 3)]).cast("long").alias("dropped_bytes"))
+
+
+RECORDS = "key long, step_y int, step_c int, levels binary, y binary, cb binary, cr binary"
+
+
+def write_layers(layers: DataFrame) -> DataFrame:
+    """(key, record) of ``layers``: steps, levels, which may be null, and the payloads of three planes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("step_y", "step_c", "levels", "y", "cb", "cr")), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([layer_record(sy, sc, levels, planes) for sy, sc, levels, *planes in rows], pa.binary())], ["key", "record"])
+
+    return layers.select("key", "step_y", "step_c", "levels", "y", "cb", "cr").mapInArrow(run, "key long, record binary")
+
+
+def read_layers(records: DataFrame, with_levels: bool) -> DataFrame:
+    """Inverse of write_layers()."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, sy, sc, levels, *planes) for k, (sy, sc, levels, planes) in zip(b.column("key").to_pylist(), (read_layer_record(r, with_levels) for r in b.column("record").to_pylist()), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), *(pa.binary(),) * 4), strict=True)], ["key", "step_y", "step_c", "levels", "y", "cb", "cr"])
+
+    return records.select("key", "record").mapInArrow(run, RECORDS)
+
+
+def vector_count(width: Column, height: Column) -> Column:
+    """Motion vectors of a frame: blocks of 8x8 at a quarter of its size, every division rounded up."""
+    up = lambda v, n: F.floor((v + (n - 1)) / n)
+    blocks = lambda v: up(up(up(v, 2), 2), 8)
+    return (blocks(width) * blocks(height)).cast("long")

@@ -35,32 +35,45 @@ def plane_sizes(width: int, height: int) -> tuple[int, int, int]:
 
 
 class _Slice(InputPartition):
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    def __init__(self, path: str, skip: int, first: int, count: int):
+        self.path, self.skip, self.first, self.count = path, skip, first, count
+
+
+def _open(path: str):
+    store, name = pafs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
 
 class _Reader(DataSourceReader):
+    """Of a folder, the files in order of their names; their frames are numbered on."""
+
     def __init__(self, path: str, frames: int):
         self.path, self.frames = path, frames
 
-    def _open(self):
+    def _files(self) -> list[str]:
         store, name = pafs.FileSystem.from_uri(self.path)
-        return store.open_input_file(name)
+        if store.get_file_info(name).type != pafs.FileType.Directory:
+            return [self.path]
+        found = store.get_file_info(pafs.FileSelector(name))
+        return sorted(f"{self.path.rstrip('/')}/{f.base_name}" for f in found if f.base_name.endswith(".y4m"))
 
     def partitions(self):
-        with self._open() as f:
-            width, height, _, _, start = parse_header(f.read(4096))
-            length = len(MARK) + sum(plane_sizes(width, height))
-            count, rest = divmod(f.size() - start, length)
-        if rest:
-            raise ValueError("the last frame is cut off")
-        return [_Slice(k, min(self.frames, count - k)) for k in range(0, count, self.frames)]
+        out, first = [], 0
+        for path in self._files():
+            with _open(path) as f:
+                width, height, _, _, start = parse_header(f.read(4096))
+                count, rest = divmod(f.size() - start, len(MARK) + sum(plane_sizes(width, height)))
+            if rest:
+                raise ValueError("the last frame is cut off")
+            out += [_Slice(path, k, first + k, min(self.frames, count - k)) for k in range(0, count, self.frames)]
+            first += count
+        return out
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        with self._open() as f:
+        with _open(partition.path) as f:
             width, height, num, den, start = parse_header(f.read(4096))
             sizes = plane_sizes(width, height)
-            f.seek(start + partition.first * (len(MARK) + sum(sizes)))
+            f.seek(start + partition.skip * (len(MARK) + sum(sizes)))
             for k in range(partition.count):
                 if f.read(len(MARK)) != MARK:
                     raise ValueError("a frame without its mark")
@@ -68,7 +81,7 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    """One ordered task writes a file under a name of its own; commit gives it its place."""
+    """An ordered partition is a file, written under a name of its own; commit gives it its place. Several partitions make a folder of files, in the order of the partitions."""
 
     def __init__(self, path: str):
         self.path = path
@@ -81,7 +94,7 @@ class _Writer(DataSourceWriter):
                 out = store.open_output_stream(own, compression=None)
                 out.write(SIGNATURE + f"W{r.width} H{r.height} F{r.fps}:1 Ip A0:0 C420mpeg2 XYSCSS=420JPEG\n".encode())
             if r.frame_no <= last:
-                raise ValueError("frames must come in order, in one partition")
+                raise ValueError("frames must come in order in each partition")
             if (len(r.y), len(r.cb), len(r.cr)) != plane_sizes(r.width, r.height):
                 raise ValueError("planes must be 4:2:0")
             last = r.frame_no
@@ -95,9 +108,14 @@ class _Writer(DataSourceWriter):
     def commit(self, messages):
         store, name = pafs.FileSystem.from_uri(self.path)
         written = [m.name for m in messages if m is not None and m.name]
-        if len(written) != 1:
-            raise ValueError("a Y4M file is written from one partition")
-        store.move(written[0], name)
+        if not written:
+            raise ValueError("there is no frame to write")
+        if len(written) == 1:
+            store.move(written[0], name)
+            return
+        store.create_dir(name, recursive=True)
+        for k, part in enumerate(written):
+            store.move(part, f"{name}/part-{k:06d}.y4m")
 
     def abort(self, messages):
         store, _ = pafs.FileSystem.from_uri(self.path)

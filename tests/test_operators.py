@@ -1,5 +1,8 @@
 import random
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import blocks as B
-from tessera.operators import coding, fidelity, models, ordered
+from tessera.operators import coding, fidelity, models, ordered, planes
 from tessera.sources import container as C
-from tessera.sources import y4m
+from tessera.sources import png, y4m
 from tessera.streaming import sessions
 
 
@@ -129,19 +132,62 @@ def test_y4m_files(spark, tmp_path):
     assert y4m.parse_header(b"YUV4MPEG2 W5 H3\n")[:4] == (5, 3, 30, 1)
 
 
-def test_rate_control():
-    control = sessions.RateControl(1_000_000, 30, 15)
-    assert control.begin() == 200_000 and control.target == 500_000
-    control.key_done(100_000)
-    assert (control.left, control.frames) == (400_000, 14)
-    step = control.next_step(1000, 16)
-    assert step == 24
-    control.done(20_000, step, 1000, 10)
-    assert control.next_step(2000, 16) >= 16
-    control.done(50_000, 30, 2000, 100)
-    assert control.drifting and (control.left, control.frames) == (330_000, 12)
-    control.begin()
-    assert control.target == 500_000 + 330_000
+RATE = sessions.RateConfig(1_000_000, 30, 15, 16)
+
+
+def test_rate_steps_by_hand():
+    state, found = sessions.rate_step(None, (True, 0, 100_000, None), RATE)
+    # 15 of 30 frames a second have 500,000 bits; the key frame's share is above six frames' 200,000
+    assert found == (200_000, 16) and state.target == 500_000 and (state.left, state.frames) == (400_000, 14)
+    state, found = sessions.rate_step(state, (False, 1000, 20_000, 10), RATE)
+    assert found == (28_571, 24) and state == (380_000, 500_000, 13, 1000, 20_000, 24, 1000, 10, 10)
+    # the change doubled, to 1.666 of its mean: a share of 380,000 // 13 = 29,230 becomes 48,716; 24 * 40,000 // 48,716 = 19; content that changes takes the new step whole
+    state, found = sessions.rate_step(state, (False, 2000, 50_000, 100), RATE)
+    assert found == (48_716, 19)
+    assert (state.left, state.frames, state.mean_sad) == (330_000, 12, 1200)
+    assert sessions.drifting(10, 100) and not sessions.drifting(50, 100) and not sessions.drifting(0, 100) and not sessions.drifting(10, 32)
+    state, _ = sessions.rate_step(state, (True, 0, None, None), RATE)
+    assert state.target == 830_000 and state.left == 830_000 - max(200_000, 830_000 * 5 // 19)
+
+
+def test_rates_of_a_table_and_of_a_stream_agree(spark, tmp_path):
+    import uuid
+
+    rng = random.Random(6)
+    rows = [(u, k, k % 9 == 0, rng.choice([0, 50, 900, 4000])) for k in range(60) for u in (1, 2, None)]
+    schema = "user_id long, event_id long, is_key boolean, sad long"
+    want, state = {}, {}
+    for u, k, is_key, sad in rows:
+        state[u], found = sessions.rate_step(state.get(u), (is_key, sad, None, None), RATE)
+        want[u, k] = found
+    table = sessions.rate_steps(spark.createDataFrame(rows, schema).repartition(3), RATE)
+    assert {(r.user_id, r.event_id): (r.share, r.step) for r in table.collect()} == want
+    source = str(tmp_path / "in")
+    for k in range(0, len(rows), 60):
+        spark.createDataFrame(rows[k : k + 60], schema).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).where("user_id is not null")
+    name = f"r{uuid.uuid4().hex}"
+    q = sessions.stream_rate_steps(live, RATE).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.user_id, r.event_id): (r.share, r.step) for r in spark.table(name).collect()} == {k: v for k, v in want.items() if k[0] is not None}
+    assert len(q.recentProgress) >= 2
+
+
+def test_key_frames_have_their_reasons():
+    state, reasons = None, []
+    for frame in [(100, 0), (100, 0), (9000, 0), (9000, 1), *[(9000, 0)] * 3, (9100, 0), (12000, 0), (12100, 0)]:
+        state, (_, reason, _) = sessions.key_step(state, frame, 5000, 4)
+        reasons.append(reason)
+    assert reasons[:4] == ["first", None, "cut", "forced"] and "due" in reasons
+    drifted = sessions.Keys(0, 1, 10, 90)
+    assert sessions.key_step(drifted, (0, 0), 5000, 4)[1] == (True, "drift", True)
+
+
+def test_groups_are_decoded_from_their_key_frames(spark):
+    rows = [("a", 0, "P", [1, 1]), ("a", 1, "COPY", None), ("a", 2, "I", [5, 6]), ("a", 3, "P", [1, -1]), ("a", 4, "COPY", None), ("a", 5, "I", [0, 0]), ("b", 0, "COPY", None)]
+    got = {(r.stream_id, r.frame_no): (r.picture, r.problem) for r in sessions.decode_groups(spark.createDataFrame(rows, "stream_id string, frame_no long, kind string, samples array<int>")).collect()}
+    lost = (None, "no reference")
+    assert got == {("a", 0): lost, ("a", 1): lost, ("a", 2): ([5, 6], None), ("a", 3): ([6, 5], None), ("a", 4): ([6, 5], None), ("a", 5): ([0, 0], None), ("b", 0): lost}
 
 
 def test_stream_keeps_state_between_batches(spark, tmp_path):
@@ -170,7 +216,10 @@ def test_small_groups(spark):
     values = spark.createDataFrame([(float(v), v) for v in range(11)], "v double, frame long")
     row = fidelity.summary(values, "v").first()
     assert (row.n, row.p50, row.p90) == (11, 5.0, 9.0)
-    assert sorted(r.r for r in fidelity.ranked(values, "v").collect()) == list(range(11))
+    assert sorted((r.v, r.first, r["last"]) for r in fidelity.ranked(values.union(values.where("v < 3")), "v").collect()) == [(0, 0, 1), (1, 2, 3), (2, 4, 5), *((v, v + 3, v + 3) for v in range(3, 11))]
+    equal = spark.range(500).selectExpr("100.0D as v", "id as frame")
+    row = fidelity.summary(equal, "v").first()
+    assert (row.n, row.p50, row.p90, row.least) == (500, 100.0, 100.0, 100.0)
 
 
 def test_counts_over_the_table_have_no_cap(spark):
@@ -178,3 +227,95 @@ def test_counts_over_the_table_have_no_cap(spark):
     assert {tuple(r) for r in models.histogram(tokens, "ctx").collect()} == {(c, t, n) for c in (0, 1) for t, n in ((0, 70_000), (1, 5_000))}
     assert {tuple(r) for r in models.plane_histogram(tokens, "ctx").collect()} == {(c, t, n) for c in (0, 1) for t, n in ((0, 65_535), (1, 5_000))}
     assert {r.counts[0] for r in models.models(models.histogram(tokens, "ctx"), "ctx").collect()} == {70_000}
+
+
+def test_runs_of_groups_without_values_come_back(spark):
+    rows = spark.createDataFrame([(g, p, v) for g, line in enumerate(([0, 0, 0, 0], [0, 5, 0, 0], [1, 0, 0, 2])) for p, v in enumerate(line)], "g long, p int, v long")
+    back = ordered.expand_runs(ordered.zero_runs(rows, "g", "p", "v"), rows.select("g").distinct(), "g", "p", 4)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((r.g, r.p, r.v) for r in rows.collect())
+
+
+@pytest.mark.parametrize("n", [0, 1, 32, 33, 700])
+@pytest.mark.parametrize("trailing", [0, 9])
+def test_pair_streams(n, trailing):
+    rng = random.Random(n)
+    pairs = [(rng.choice([0, 0, 1, 31, 32, 33, 400]), rng.choice([-1, 1, 15, 16, -16, 17, 64, -32767]), rng.randrange(coding.CONTEXTS)) for _ in range(n)]
+    for select in (coding.cheapest, lambda runs, values: ("own", [coding.Model.of(c) for c in runs], [coding.Model.of(c) for c in values])):
+        data = coding.encode_pairs(pairs, b"flags", 3, trailing, select)
+        reader = coding.PairReader(data)
+        assert (reader.flags, reader.count) == (b"flags", 3)
+        assert [(*reader.pair(c), c) for _, _, c in pairs] == pairs
+        if n > coding.FEW:
+            assert reader.rest() == trailing
+            with pytest.raises(ValueError):
+                reader.pair(0)
+    for k in range(len(data) - 1) if n == 33 else ():
+        try:
+            cut = coding.PairReader(data[:k])
+            for _, _, c in pairs:
+                cut.pair(c)
+        except ValueError:
+            pass
+
+
+@pytest.mark.parametrize("side", [8, 16, 32])
+def test_squares_come_back(side):
+    rng = np.random.default_rng(side)
+    squares = rng.integers(-300, 300, (12, side, side)) * (rng.random((12, side, side)) < 0.15)
+    squares[[2, 3]] = 0
+    squares[5, : side // 2, : side // 2] = 0
+    parents = rng.integers(-2, 3, (12, side // 2, side // 2))
+    assert (coding.decode_squares(coding.encode_squares(squares), side) == squares).all()
+    assert (coding.decode_squares(coding.encode_squares(squares, parents), side, parents) == squares).all()
+    small = np.where(np.abs(squares) > 3, 0, squares)
+    gone = coding.cleared(small, 8, "luma2")
+    assert all((g == 0).all() or s[: side // 2, : side // 2].any() for g, s in zip(gone, small, strict=True))
+
+
+def test_models_in_python_are_those_in_columns(spark):
+    rng = random.Random(3)
+    counts = [[rng.choice([0, 0, 1, 7, 900, 60_000]) for _ in range(64)] for _ in range(20)] + [[0] * 64, [1] * 64]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(counts)], "k int, counts array<long>")
+    rows = df.withColumn("freqs", models.normalise(F.col("counts"))).withColumn("cost", models.bit_cost(F.col("counts"), F.col("freqs"))).withColumn("head", models.header_bits(F.col("freqs"))).collect()
+    for r in rows:
+        model = coding.Model.of(r.counts)
+        assert model.freqs == r.freqs and model.bits(r.counts) == r.cost and len(model.table()) * 8 == r.head
+        assert coding.Model.read_table(b"x" + model.table(), 1)[0].freqs == model.freqs
+
+
+def test_pictures():
+    rng = np.random.default_rng(7)
+    lines = rng.integers(0, 256, (5, 4 * 6), dtype=np.uint8)
+    assert png.decode(png.encode(6, 5, lines.tobytes())) == (6, 5, lines.tobytes())
+    # every filter, by its definition
+    above, body = np.zeros(24, int), b""
+    for kind, line in enumerate(lines.astype(int)):
+        left, corner = np.concatenate([[0] * 4, line[:-4]]), np.concatenate([[0] * 4, above[:-4]])
+        near = [min((a, b, c), key=lambda n: abs(a + b - c - n)) for a, b, c in zip(left.tolist(), above.tolist(), corner.tolist(), strict=True)]
+        guess = [0, left, above, (left + above) // 2, np.array(near)][kind]
+        body += bytes([kind]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+        above = line
+    head = struct.pack(">IIBBBBB", 6, 5, 8, 6, 0, 0, 0)
+    data = png.SIGNATURE + png._chunk(b"IHDR", head) + png._chunk(b"IDAT", zlib.compress(body)[:20]) + png._chunk(b"IDAT", zlib.compress(body)[20:]) + png._chunk(b"IEND", b"")
+    assert png.decode(data) == (6, 5, lines.tobytes())
+    for damaged in (data[:20], b"x" + data, data[:40] + b"\0\0" + data[42:]):
+        with pytest.raises((ValueError, struct.error, zlib.error)):
+            png.decode(damaged)
+
+
+def test_mirrored_and_replicated_places():
+    at = np.array([-3, -1, 0, 4, 5, 6, 9, 12])
+    assert planes.replicated(at, 5).tolist() == [0, 0, 0, 4, 4, 4, 4, 4]
+    assert planes.mirrored(at, 5).tolist() == [3, 1, 0, 4, 4, 3, 0, 0]
+
+
+def test_plan_has_each_block_once(spark):
+    from tessera.plans import registry
+
+    plan = registry.QUERIES["dpcm_med"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") <= 1
+
+
+def test_initial_steps():
+    assert planes.initial_step(1, 100, 100, 10**9) == 1 and planes.initial_step(10**6, 1, 10**6, 1) == 256
+    assert planes.initial_step(5_000, 64, 64, 50_000) == 64 * 5_000 * 78 // 5_000_000
