@@ -3,7 +3,7 @@
 Each stage works on all rows that the one before it kept, is written as Parquet to the shared folder, and is read again by the next.
 
 Rows without doc_id can't be named by a link; the similarity stage keeps them. It also keeps every row without words, since these
-are linked with nothing. Of equal rows one stays.
+are linked with nothing. Of rows with one doc_id and text one stays, that with the smallest other columns.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, line_dedup, mixing, quality
-from tessera.llm._spark import scratch
+from tessera.llm._spark import scratch, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id stays."""
     found = jaccard.jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__kept"), "left_semi")
-    # repeated rows are copies; rows without words are not
-    once = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
-    named = named.withColumn("__once", once).dropDuplicates(["doc_id", "text", "__once"]).drop("__once")
-    return named.unionByName(docs.where("doc_id is null"))
+    kept, once = unused(docs, "kept_id", "one_of_its_kind")
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
+    # rows with one doc_id and text are copies, whatever else they hold; rows without words are not
+    named = named.withColumn(once, F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if rest:
+        named = named.groupBy("doc_id", "text", once).agg(F.min(F.struct(*rest)).alias(kept)).select("doc_id", "text", f"{kept}.*")
+    else:
+        named = named.dropDuplicates(["doc_id", "text", once])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
