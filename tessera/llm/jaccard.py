@@ -18,7 +18,8 @@ added up by class, each partner with as many as its copies.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as its only shingle; repeated rows and equal
-texts share a component; an empty table gives an empty table; other columns play no part.
+texts share a component; of equal sizes and counts the smaller fingerprint comes first, which no result shows; a text of any
+length is one set, made whole; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ from .components import components
 #: Bytes of packed tokens that a map task holds before it emits them.
 FLUSH_BYTES = 16 << 20
 #: Classes that one task holds against a group.
-QUERIES_A_TASK = 4096
+QUERIES_A_TASK = 1024
+#: Parts of a join by a key that many classes may share.
+SALTS = 16
 #: Components of up to a group's size over this share groups with others.
 SMALL_SHARE = 8
 
@@ -317,6 +320,12 @@ def _verify(percent: int, count: bool):
     return run
 
 
+def _salted(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Joins one row a key to many; a key that many classes have is dealt over ``SALTS`` tasks."""
+    many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
+
+
 def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(node, label), the components of the classes that link with another class; and with ``copies``, (class, copies), the links of each
     class that has any: (class, n_links), the copies of all its partners."""
@@ -331,7 +340,7 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies
     for turn in range(config.rounds):
         keyed = alive.mapInArrow(_keys(turn), "class long, key long")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("leader")).where("members > 1")
-        grouped = keyed.join(sizes, "key")
+        grouped = _salted(keyed, sizes, "key")
         parts = F.ceil(F.col("members") / config.group_size).cast("long")
         own = grouped.select("key", F.pmod(F.xxhash64("class"), parts).alias("part"), "class")
         # the leader sits in each part of a split group, so that the parts meet
@@ -341,15 +350,15 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies
     edges = cut(edges)
     labels = components(edges)
 
-    placed = alive.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    count = placed.groupBy("label").agg(F.count("*").alias("members"))
+    # where each class goes is worked out on slim rows; their tokens join last, by class
+    slim = alive.mapInArrow(_commonest, "class long, token long").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    slim = _salted(slim, slim.groupBy("label").agg(F.count("*").alias("members")), "label")
     # small components share groups with others that have the same commonest token; large ones have groups of their own
-    small = F.col("members") * SMALL_SHARE <= config.group_size
-    placed = placed.join(count, "label").withColumn("small", small)
-    keyed = placed.mapInArrow(_commonest, "class long, token long")
-    placed = placed.join(keyed, "class").withColumn("group", F.when(F.col("small"), F.xxhash64("token")).otherwise(F.xxhash64("label", F.lit(1)))).drop("token")
-    crowd = placed.groupBy("group").agg(F.ceil(F.count("*") / config.group_size).cast("long").alias("parts"))
-    placed = cut(placed.join(crowd, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts"))
+    slim = slim.withColumn("small", F.col("members") * SMALL_SHARE <= config.group_size)
+    slim = cut(slim.withColumn("group", F.when(F.col("small"), F.xxhash64("token")).otherwise(F.xxhash64("label", F.lit(1)))).drop("token"))
+    crowd = slim.groupBy("group").agg(F.ceil(F.count("*") / config.group_size).cast("long").alias("parts"))
+    slim = _salted(slim, crowd, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts")
+    placed = cut(alive.join(slim, "class"))
     rows = placed.select(*QUERY, "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, group long, part long, members long, small boolean, token long")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("crowd")).where("lo < hi" if copies is None else "crowd > 1").select("token")
     rows = cut(rows.join(mixed, "token"))
@@ -406,8 +415,7 @@ def _joined(docs: DataFrame, config: JaccardConfig, count: bool) -> DataFrame:
         found = found.join(n_links, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")) + F.col("rows") - 1)
     found = cut(found.drop("rows"))
     # a hot class meets its one row in many parts: salt both sides
-    salts = 16
-    many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(many, ["class", "salt"], "left")
+    many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, ["class", "salt"], "left")
     own = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count else []
     return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"), *own)

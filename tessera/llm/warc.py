@@ -1,8 +1,8 @@
 """WARC archives as a chunked record table.
 
-A payload travels as (record, chunk number) rows of ``chunk_bytes`` at most, in order, to the task that writes
+A payload is cut where it is read, and travels as (record, chunk number) rows of ``chunk_bytes`` at most, in order, to the task that writes
 it; the writer compresses and digests chunk by chunk, each record a gzip member of its own, and starts a new
-file once one is large enough. The reader streams the files back as (record, chunk number) rows, each with the digest
+file once one is large enough. A record is named by its page and its row, so names are unique where pages repeat. The reader streams the files back as (record, chunk number) rows, each with the digest
 of the payload so far; neither side of the Python code holds a whole record.
 
 Of records with equal payloads of ``MIN_REVISIT`` bytes or more, that with the smallest page_id is a response and the
@@ -43,20 +43,25 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _head(page: int | None, url: str | None, size: int, digest: str, refers: int | None) -> bytes:
+def _name(page: int | None, row: int) -> str:
+    """A record's name: its page, and its row, since pages may repeat."""
+    return f"<urn:page:{'null' if page is None else page}:{row}>"
+
+
+def _head(page: int | None, row: int, url: str | None, size: int, digest: str, refers: int | None, refers_row: int | None) -> bytes:
     """Record header and HTTP header."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>",
+        f"WARC-Record-ID: {_name(page, row)}",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + (quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page}"),
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if refers is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers, refers_row)}"]
     block = len(http) + (size if refers is None else 0)
     return ("\r\n".join([*lines, f"Content-Length: {block}"]) + "\r\n\r\n" + http).encode()
 
@@ -72,7 +77,7 @@ def _write(folder: str, file_bytes: int):
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for page, url, n, digest, refers, chunk, chunks, data in zip(*(batch.column(c) for c in ("page_id", "url", "n", "digest", "refers_to", "chunk", "chunks", "data")), strict=True):
+            for page, row, url, n, digest, refers, refers_row, chunk, chunks, data in zip(*(batch.column(c) for c in ("page_id", "row", "url", "n", "digest", "refers_to", "refers_row", "chunk", "chunks", "data")), strict=True):
                 if chunk.as_py() == 0:
                     if out is not None and size >= file_bytes:
                         out.close()
@@ -82,7 +87,7 @@ def _write(folder: str, file_bytes: int):
                         name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
                     packer, sha = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha256()
-                    size += out.write(packer.compress(_head(page.as_py(), url.as_py(), n.as_py(), digest.as_py(), refers.as_py()))) or 0
+                    size += out.write(packer.compress(_head(page.as_py(), row.as_py(), url.as_py(), n.as_py(), digest.as_py(), refers.as_py(), refers_row.as_py()))) or 0
                 body = data.as_buffer() if data.is_valid else b""
                 sha.update(body)
                 part = packer.compress(body)
@@ -102,20 +107,51 @@ def _write(folder: str, file_bytes: int):
     return run
 
 
+CUT = "page_id long, row long, url string, n long, digest string, chunk int, chunks int, data binary"
+
+
+def _cut_payloads(chunk_bytes: int):
+    """A row for each chunk of each payload; chunks are views of the payload until they are sent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+        names = [part.split()[0] for part in CUT.split(", ")]
+        for piece in (p for batch in batches for p in T.pieces([batch], "body", 4 * T.PIECE_BYTES)):
+            rows: list[tuple] = []
+            for page, row, url, body in zip(*(piece.column(c) for c in ("page_id", "row", "url", "body")), strict=True):
+                payload = memoryview(body.as_buffer()) if body.is_valid else memoryview(b"")
+                digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+                chunks = max(1, -(-size // chunk_bytes))
+                held = 0
+                for k in range(chunks):
+                    part = payload[k * chunk_bytes : (k + 1) * chunk_bytes]
+                    rows.append((page.as_py(), row.as_py(), url.as_py(), size, digest, k, chunks, bytes(part)))
+                    held += len(part)
+                    if held >= 4 * T.PIECE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
 def write_warc(pages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record for each row of (page_id, url, html) below ``folder``, a URI that all executors share; the manifest (path, records, bytes)."""
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), body.alias("body")).withColumn("n", F.octet_length("body").cast("long")).withColumn("digest", F.sha2("body", 256))
-    twins = named.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("body")).withColumn("row", F.monotonically_increasing_id())
+    # only digests are compared; payloads travel as chunks, cut before any of them moves
+    digests = named.select("page_id", "row", F.octet_length("body").alias("n"), F.sha2("body", 256).alias("digest"))
+    smallest = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("s")
+    twins = digests.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(smallest, F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("s.page_id").alias("first"), F.col("s.row").alias("first_row"))
     spread = cut(twins).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = named.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
+    chunks = named.select("page_id", "row", "url", "body").mapInArrow(_cut_payloads(chunk_bytes), CUT)
+    joined = chunks.withColumn("salt", F.pmod(F.xxhash64("page_id", "row"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = joined.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn("chunks", F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") / chunk_bytes)).cast("int")))
-    chunked = marked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    data = F.when(F.col("refers_to").isNull(), F.substring(F.col("body"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)))
-    rows = chunked.select("page_id", "url", "n", "digest", "refers_to", "chunk", "chunks", data.alias("data"))
-    return cut(rows.mapInArrow(_write(folder, file_bytes), "path string, records long, bytes long"))
+    marked = joined.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn("refers_row", F.when(revisit, F.col("first_row"))).where("refers_to is null or chunk = 0")
+    first = F.col("refers_to").isNull()
+    rows = marked.select("page_id", "row", "url", "n", "digest", "refers_to", "refers_row", "chunk", F.when(first, F.col("chunks")).otherwise(1).alias("chunks"), F.when(first, F.col("data")).alias("data"))
+    return cut(rows.sortWithinPartitions("digest", "row", "chunk").mapInArrow(_write(folder, file_bytes), "path string, records long, bytes long"))
 
 
 class _Stream:
@@ -167,7 +203,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(name: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+|null)>", name)
+    found = re.fullmatch(r"<urn:page:(-?\d+|null):\d+>", name)
     if not found:
         raise ValueError(f"not a record of this writer: {name}")
     return None if found[1] == "null" else int(found[1])

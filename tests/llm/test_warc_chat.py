@@ -93,3 +93,19 @@ def test_conversations_take_their_layouts(spark):
     records = chat.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r.key: (r.layout, chat.parse(r.formatted)) for r in chat.format_records(records, "conv_id", "record").collect()}
     assert got == {1: ("prompt and response", [("user", "q"), ("assistant", "a")]), 2: ("instruction", [("system", ""), ("user", "q"), ("assistant", "a")]), 3: ("messages", [("human", "x")]), None: ("prompt and response", [("user", "long " * 50_000), ("assistant", "")])}
+
+
+def test_payloads_beyond_a_chunk_and_repeated_pages(spark):
+    long = "".join(f"{k:07d} " for k in range(100_000))
+    pages = [(5, None, long), (9, "u", long), (9, "u", long), (5, "again", long), (None, None, long), (1, "v", long[:-1])]
+    manifest = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), scratch(spark, "warc"))
+    rows = warc.read_warc(manifest).collect()
+    whole = defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        if r.record_type == "response":
+            whole[r.page_id][r.chunk].append(bytes(r.data))
+    assert set(whole) == {5, 1} and len(whole[1]) > 1
+    assert b"".join(whole[1][k][0] for k in range(len(whole[1]))).decode() == long[:-1]
+    assert all(len(set(parts)) == 1 and len(parts) == 2 for parts in whole[5].values())
+    ends = sorted(((r.page_id, r.record_type, r.refers_to) for r in rows if r["last"]), key=str)
+    assert ends == sorted([(5, "response", None), (5, "response", None), (9, "revisit", 5), (9, "revisit", 5), (None, "revisit", 5), (1, "response", None)], key=str)
