@@ -4,6 +4,11 @@ Vectors are cut into subspaces of ``SUB`` components with 16 codewords each, fou
 bounded sample, to the anisotropic loss: the part of the residual that is parallel to the vector, which
 moves large inner products most, weighs ``eta`` times the rest. Every row is encoded under the same loss.
 
+Rows fall into cells around centres that are fitted on the same sample, and a query visits the cells whose centres have the largest
+inner products with it. How many, follows from the sample: so many that they hold ``recall`` of its rows' true neighbours there. Where
+that is more than half of the cells, as with vectors in no groups, or with ``exact_cells``, there is one cell, and every query meets every row's code. A large cell is dealt over several parts, which
+its queries all visit, so a cell with a third of all rows is no task's own.
+
 A query's inner products with all codewords fill a table; rows are scanned by table lookups of two codes a byte,
 the best of each block of rows are scored again on the original vectors in double precision, and a query's
 best of all blocks are merged. Blocks of rows meet blocks of queries; no pair is a row of any table.
@@ -15,7 +20,7 @@ Defined results: vectors that are null, zero, or hold null or non-finite compone
 length than most valid vectors (of equally frequent lengths the smaller); ties go to the smaller vec_id; a row with
 the query's vec_id is never its candidate; repeated rows are candidates each for itself, and a repeated query
 is answered once, by the smallest of its vectors in byte order; null vec_ids take no part; an empty table gives
-an empty table; other columns play no part.
+an empty table; other columns play no part. Texts play no part either, so none is too long.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from ._spark import tasks
 
 SUB, WORDS = 2, 16
 BLOCK, QUERY_BLOCK = 8192, 256
+#: Cells at most; rows of a cell from which on there are several cells; rows of a part at most.
+CELLS, CELL_ROWS, PART_ROWS = 256, 2048, 4 * BLOCK
 
 
 @dataclass(frozen=True)
@@ -43,6 +50,8 @@ class AnnConfig:
     rerank: int = 200  #: rows of a block that are scored again
     rounds: int = 6
     every: int = 20  #: rows whose vec_id is divisible by it are queries
+    recall: float = 0.98  #: share of the sample's true neighbours that the visited cells hold
+    exact_cells: bool = False  #: visit all cells
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -108,26 +117,89 @@ def _valid(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _blocks(targets: int, every: int, d: int):
-    """Packs rows into blocks for one task each, and queries into blocks for every task."""
+def centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Centres of cells by k-means; empty ones start again at rows far from theirs."""
+    rng = np.random.default_rng(5)
+    found = x[rng.choice(len(x), cells, replace=False)].astype(np.float64)
+    for _ in range(rounds):
+        near = cell_of(x, found)
+        size = np.bincount(near, minlength=cells)
+        sums = np.zeros_like(found)
+        np.add.at(sums, near, x)
+        lost = np.flatnonzero(size == 0)
+        found = sums / np.maximum(size, 1)[:, None]
+        if len(lost):
+            found[lost] = x[np.argsort(-((x - found[near]) ** 2).sum(1))[: len(lost)]]
+    return found
+
+
+def cell_of(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row."""
+    return (x @ found.T - (found**2).sum(1) / 2).argmax(1)
+
+
+def visits(x: np.ndarray, found: np.ndarray, config: AnnConfig) -> int:
+    """How many cells a query visits: the fewest whose rows make up ``recall`` of the true neighbours of 256 rows within the sample."""
+    if config.exact_cells or len(found) == 1 or len(x) <= config.k:
+        return len(found)
+    queries = np.arange(0, len(x), max(1, len(x) // 256))
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    near = np.argpartition(-score, config.k - 1, axis=1)[:, : config.k]
+    place = np.argsort(np.argsort(-(x[queries] @ found.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, cell_of(x, found)[near], 1).reshape(-1)) + 1
+    many = int(needed[int(np.ceil(config.recall * len(needed))) - 1])
+    return many if many <= len(found) // 2 else len(found)
+
+
+def _cells(found: np.ndarray, d: int):
+    """Rows of each cell, by batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        for batch in batches:
+            size = np.bincount(cell_of(_vectors(batch, d), found), minlength=len(found))
+            some = np.flatnonzero(size)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size[some].astype(np.int64))], ["cell", "rows"])
+
+    return run
+
+
+def _vectors(batch: pa.RecordBatch, d: int) -> np.ndarray:
+    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
+
+
+def _blocks(found: np.ndarray, size: np.ndarray, parts: np.ndarray, many: int, config: AnnConfig, d: int):
+    """Packs rows into their cells' parts, and queries into all parts of the cells that they visit, ``many`` and as many more as hold some rows; ``parts`` has the first part of each cell, and of none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(part: int, asks: bool, own: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "asks": [asks], "ids": [own.tobytes()], "vectors": [x.tobytes()]})
+
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
-            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
             if not len(ids):
                 continue
-            base = int(T.mix(ids[:1].view(np.uint64))[0] % np.uint64(targets))
-            for lo in range(0, len(ids), BLOCK // 4):
-                part = slice(lo, lo + BLOCK // 4)
-                turn += 1
-                yield pa.RecordBatch.from_pydict({"task": pa.array([(base + turn) % targets], pa.int32()), "asks": [False], "ids": [ids[part].tobytes()], "vectors": [vectors[part].tobytes()]})
-            asks = ids % every == 0
-            for lo in range(0, int(asks.sum()), QUERY_BLOCK):
-                some, them = ids[asks][lo : lo + QUERY_BLOCK].tobytes(), vectors[asks][lo : lo + QUERY_BLOCK].tobytes()
-                for task in range(targets):
-                    yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "asks": [True], "ids": [some], "vectors": [them]})
+            vectors = _vectors(batch, d)
+            cell = cell_of(vectors, found)
+            part = parts[cell] + (T.mix(ids.view(np.uint64)) % (parts[cell + 1] - parts[cell]).astype(np.uint64)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0, [True]]))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                for at in range(lo, hi, BLOCK // 4):
+                    some = order[at : min(hi, at + BLOCK // 4)]
+                    yield row(int(part[some[0]]), False, ids[some], vectors[some])
+            asks = np.flatnonzero(ids % config.every == 0)
+            if not len(asks):
+                continue
+            order = np.argsort(-(vectors[asks] @ found.T), axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            visited = np.zeros(order.shape, bool)
+            np.put_along_axis(visited, order, (np.arange(len(found)) < many) | (before <= 10 * config.k), 1)
+            for c in np.flatnonzero(visited.any(0)).tolist():
+                who = asks[visited[:, c]]
+                for at in range(0, len(who), QUERY_BLOCK):
+                    for p in range(int(parts[c]), int(parts[c + 1])):
+                        yield row(p, True, ids[who[at : at + QUERY_BLOCK]], vectors[who[at : at + QUERY_BLOCK]])
 
     return run
 
@@ -192,9 +264,12 @@ def _scan(books: np.ndarray, eta: float, config: AnnConfig, d: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         index: list[_Index] | None = None
-        for batch in batches:  # rows first, then queries
-            for asks, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("asks", "ids", "vectors")), strict=True):
+        now = -1
+        for batch in batches:  # part by part, rows first, then queries
+            for part, asks, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("part", "asks", "ids", "vectors")), strict=True):
                 ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float32).reshape(-1, d)
+                if part != now:
+                    held, index, now = [], None, part
                 if not asks:
                     held.append((ids, vectors))
                     continue
@@ -206,8 +281,10 @@ def _scan(books: np.ndarray, eta: float, config: AnnConfig, d: int):
                         held = []
                 if index:
                     q, near, score = _best(*(np.concatenate(x) for x in zip(*(block.search(ids, vectors, books, config.rerank) for block in index), strict=True)), config.k)
-                    at = np.searchsorted(q, np.arange(len(ids) + 1))
-                    yield pa.RecordBatch.from_pydict({"query_id": ids, "keys": [vectors[i].tobytes() for i in range(len(ids))], "ids": [near[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], "scores": [score[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})
+                else:
+                    q, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                at = np.searchsorted(q, np.arange(len(ids) + 1))
+                yield pa.RecordBatch.from_pydict({"query_id": ids, "part": pa.array(np.full(len(ids), part, np.int32)), "keys": [vectors[i].tobytes() for i in range(len(ids))], "ids": [near[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], "scores": [score[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})
 
     return run
 
@@ -219,8 +296,8 @@ def _merge(k: int):
             for query, parts in zip(batch.column("query_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
                 key = min(p["keys"] for p in parts)
                 parts = [p for p in parts if p["keys"] == key]
-                # a repeated query met each task twice with the same answer
-                parts = list({p["task"]: p for p in parts}.values())
+                # a repeated query met each part twice with the same answer
+                parts = list({p["part"]: p for p in parts}.values())
                 ids, score = (np.concatenate([np.frombuffer(p[c], kind) for p in parts]) for c, kind in (("ids", np.int64), ("scores", np.float64)))
                 _, ids, score = _best(np.zeros(len(ids), np.int64), ids, score, k)
                 out += [(query, r + 1, v, s) for r, (v, s) in enumerate(zip(ids.tolist(), score.tolist(), strict=True))]
@@ -244,8 +321,19 @@ def nearest(rows: DataFrame, config: AnnConfig = AnnConfig()) -> DataFrame:
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("embedding").collect()
     eta = (d - 1) * config.threshold**2 / (1 - config.threshold**2) if d > 1 else 1.0
     eta = max(1.0, eta)
-    books = fit(_padded(np.array([r[0] for r in sample], np.float32)), eta, config.rounds)
-    n = tasks(rows, 0.25)
-    blocks = valid.mapInArrow(_blocks(n, config.every, d), "task int, asks boolean, ids binary, vectors binary").repartitionById(n, "task").sortWithinPartitions("asks")
-    found = blocks.mapInArrow(_scan(books, eta, config, d), "query_id long, keys binary, ids binary, scores binary").withColumn("task", F.spark_partition_id())
-    return found.groupBy("query_id").agg(F.collect_list(F.struct("task", "keys", "ids", "scores")).alias("parts")).mapInArrow(_merge(config.k), RESULT)
+    x = np.array([r[0] for r in sample], np.float32)
+    books = fit(_padded(x), eta, config.rounds)
+    rows_in_all, n = common[0]["count"], tasks(rows, 0.25)
+    found = centres(x, max(1, min(CELLS, len(x) // 32, -(-rows_in_all // CELL_ROWS))))
+    many = visits(x, found, config)
+    if many == len(found):
+        # no cell can be left out, so rows are dealt by hash: near ones are spread over all blocks and each is scored again in its own
+        found, many = found[:1], 1
+    size = np.zeros(len(found), np.int64)
+    for r in valid.mapInArrow(_cells(found, d), "cell int, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():  # a row a cell
+        size[r["cell"]] = r["rows"]
+    part_rows = max(CELL_ROWS // 4, min(PART_ROWS, -(-rows_in_all // n)))
+    parts = np.concatenate([[0], np.cumsum(np.maximum(1, -(-size // part_rows)))])
+    blocks = valid.mapInArrow(_blocks(found, size, parts, many, config, d), "part int, asks boolean, ids binary, vectors binary").repartitionById(n, F.col("part") % n).sortWithinPartitions("part", "asks")
+    met = blocks.mapInArrow(_scan(books, eta, config, d), "query_id long, part int, keys binary, ids binary, scores binary")
+    return met.groupBy("query_id").agg(F.collect_list(F.struct("part", "keys", "ids", "scores")).alias("parts")).mapInArrow(_merge(config.k), RESULT)

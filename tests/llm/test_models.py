@@ -240,6 +240,35 @@ def test_recall_and_exact_scores(spark):
     assert np.mean([len(set(want[q]) & set(got[q].values())) / 20 for q in want]) >= 0.95
 
 
+def _recall(spark, x, config):
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, config).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(map(len, got.values())) == {config.k}
+    want = _exact(ids, x.astype(np.float64), config.every, config.k)
+    return np.mean([len(set(want[q]) & set(got[q])) / config.k for q in want])
+
+
+def test_queries_visit_few_cells_of_grouped_vectors(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(40, 16))
+    # a third of all rows in one group
+    group = np.where(rng.random(12_000) < 1 / 3, 0, rng.integers(0, 40, 12_000))
+    x = (middle[group] + 0.2 * rng.normal(size=(12_000, 16))).astype(np.float32)
+    config = ann.AnnConfig(every=100)
+    cells = ann.centres(x[:8192], 6)
+    assert 1 <= ann.visits(x[:8192], cells, config) <= 3 and ann.visits(x[:8192], cells, ann.AnnConfig(exact_cells=True)) == 6
+    assert _recall(spark, x, config) >= 0.9
+
+
+def test_recall_where_norms_differ_widely(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(8192, 32)) * rng.lognormal(0, 1, (8192, 1))).astype(np.float32)
+    assert _recall(spark, x, ann.AnnConfig(every=100)) >= 0.9
+
+
 def test_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     good = rng.normal(size=(600, 6)).astype(np.float32)
