@@ -1,13 +1,15 @@
 """Quality rules: counts that fail a text outright, then its distance from its language.
 
 Each text gives two histograms: character classes, and common words. The same histograms, added up
-over all documents of a language that pass the base rules, are that language's reference. A text is
+over all documents of a language that pass the base rules, are that language's reference; references of another corpus,
+kept by store_references(), can stand in their place, so that a corpus full of junk is not its own standard. A text is
 rejected when the Jensen-Shannon distance of either histogram from every reference is beyond its limit,
 provided the text is long enough for that histogram to mean anything.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged
 each for itself; an empty table gives an empty table; other columns play no part, but ``lang``, where
-there is one, says which reference a document adds to (null or unknown: ``other``).
+there is one, says which reference a document adds to (null or unknown: ``other``); a distance at its limit is within it; a text
+of any length is measured whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -157,6 +159,20 @@ def references(docs: DataFrame, config: QualityConfig = QualityConfig()) -> dict
     return {name: (row[:N_CHAR], row[N_CHAR:]) for name, row in zip(LANGUAGES, table, strict=True) if row.sum()}
 
 
+References = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def store_references(spark: SparkSession, refs: References, path: str) -> None:
+    """Writes references, a row a language, below ``path``."""
+    rows = [(name, chars.astype(np.int64).tolist(), words.astype(np.int64).tolist()) for name, (chars, words) in refs.items()]
+    spark.createDataFrame(rows, "lang string, chars array<long>, words array<long>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored_references(spark: SparkSession, path: str) -> References:
+    """Inverse of store_references()."""
+    return {r.lang: (np.array(r.chars, float), np.array(r.words, float)) for r in spark.read.parquet(path).collect()}  # 5 languages
+
+
 def judge(found: dict[str, np.ndarray], refs: dict[str, tuple[np.ndarray, np.ndarray]], config: QualityConfig) -> dict[str, np.ndarray]:
     rows = len(found["n_words"])
     chars = np.min([distance(found["chars"], c) for c, _ in refs.values()], axis=0) if refs else np.zeros(rows)
@@ -169,9 +185,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """A row for each document: its counts, distances and verdict."""
-    refs = references(docs, config)
+def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig(), refs: References | None = None) -> DataFrame:
+    """A row for each document: its counts, distances and verdict; held against ``refs``, or else the references of ``docs`` themselves."""
+    refs = references(docs, config) if refs is None else refs
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.pieces(batches, "text"):
@@ -185,9 +201,9 @@ def quality_rules(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is kept."""
-    refs = references(docs, config)
+def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig(), refs: References | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is kept; see quality_rules()."""
+    refs = references(docs, config) if refs is None else refs
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.pieces(batches, "text"):

@@ -27,6 +27,40 @@ def base_counts(text: str | None) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), twins, len(covered)
 
 
+#: Characters of each class but the last two, which hold all other ASCII and what is beyond it.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".,;:'\"?-", "()[]{}", "#*$%&|<>!~^=+_@\\/`")
+EDGES = ".,;:'\"?!-()[]{}#*$%&|<>"
+
+
+def quality_histograms(text: str | None, common: list[str]) -> tuple[list[int], list[int]]:
+    text = text or ""
+    chars = [sum(c in s for c in text) for s in CLASSES]
+    beyond = sum(ord(c) > 127 for c in text)
+    chars += [len(text) - sum(chars) - beyond, beyond]
+    words, found = WORD.findall(text), Counter()
+    for w in words:
+        bare = w
+        while len(bare) > 1 and bare[0] in EDGES:
+            bare = bare[1:]
+        while len(bare) > 1 and bare[-1] in EDGES:
+            bare = bare[:-1]
+        found[lowered(bare) if lowered(bare) in common else "\0mark" if bare in EDGES else "\0other"] += 1
+    return chars, [found[w] for w in [*common, "\0mark", "\0other"]]
+
+
+def jensen_shannon(counts: list[float], reference: list[float]) -> float:
+    from math import log2, sqrt
+
+    n, m = sum(counts), sum(reference)
+    if not n:
+        return 0.0
+    total = 0.0
+    for a, b in zip(counts, reference, strict=True):
+        p, q = a / n, b / m
+        total += sum(x * log2(2 * x / (p + q)) for x in (p, q) if x)
+    return sqrt(max(0.0, total / 2))
+
+
 def shingles(text: str | None) -> frozenset:
     words = WORD.findall(lowered(text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
