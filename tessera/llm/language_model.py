@@ -561,7 +561,7 @@ def _gathered(train_tokens: int):
 def score_documents(docs: DataFrame, config: PitmanYorConfig = PitmanYorConfig()) -> DataFrame:
     """Trains on the documents that are not held out and scores all of them; ``perplexity`` is that of a text's tokens."""
     docs = documents(docs)
-    n = tasks(docs, 2)
+    n = tasks(docs, 4)
     counted = word_counts(docs, n)
     train_tokens, types = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     table = _above(counted, max(1, train_tokens * TABLE_SHARE))
