@@ -10,8 +10,12 @@ from tessera.functions import scalar as S
 
 
 def with_previous(blocks: DataFrame, span: int = 1000) -> DataFrame:
-    """Adds the previous frame's pixels, by an equi-join on consecutive frame numbers."""
-    return blocks.join(blocks.select((F.col("frame") + 1).alias("frame"), F.col("coef").alias("before")), "frame", "left")
+    """Adds the previous frame's samples as ``before``. Frames are dealt by runs of ``span``, the last of a run to the next one too, so samples are shuffled once."""
+    run = F.expr(f"frame div {span}")
+    dealt = blocks.withColumn("run", F.explode(F.when(F.col("frame") % span == span - 1, F.array(run, run + 1)).otherwise(F.array(run))))
+    w = W.partitionBy("run").orderBy("frame")
+    near = dealt.withColumn("before", F.when(F.lag("frame").over(w) == F.col("frame") - 1, F.lag("coef").over(w)))
+    return near.where(F.col("run") == run).drop("run")
 
 
 def _sum(values: Column) -> Column:
@@ -50,3 +54,9 @@ def predicted_vectors(offsets: DataFrame) -> DataFrame:
     w = W.orderBy("frame").partitionBy(F.expr("frame div 50"))
     mx, my = F.col("dx") - F.coalesce(F.lag("dx").over(w), F.lit(0)), F.col("dy") - F.coalesce(F.lag("dy").over(w), F.lit(0))
     return offsets.select("frame", mx.alias("mx"), my.alias("my"), (F.abs(mx) + F.abs(my)).alias("penalty"))
+
+
+def with_cells(blocks: DataFrame) -> DataFrame:
+    """Adds cell_sad and cell_occlusion of the cell of two by two blocks that holds a block (row, col, sad, occlusion): sums and the largest, by a window over the cell."""
+    w = W.partitionBy(F.expr("row div 2"), F.expr("col div 2"))
+    return blocks.withColumn("cell_sad", F.sum("sad").over(w)).withColumn("cell_occlusion", F.max("occlusion").over(w))

@@ -100,6 +100,13 @@ def skip_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.skip_limits(rows, 48, 8, 6, 8).select("frame", "limit", "skipped")
 
 
+@query(f"WITH {_DIFF}, b AS (SELECT s.frame, s.sad, o.occlusion, s.frame % 16 AS col, s.frame // 16 AS r FROM s JOIN o USING (frame)), c AS (SELECT r // 2 AS cr, col // 2 AS cc, CAST(sum(sad) AS BIGINT) AS sad, max(occlusion) AS occlusion FROM b GROUP BY ALL) SELECT b.frame, c.sad AS cell_sad, c.sad >= 1500 OR c.occlusion >= 2 AS busy FROM b JOIN c ON c.cr = b.r // 2 AND c.cc = b.col // 2")
+def cell_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block with what its cell of two by two blocks moves."""
+    rows = search.frame_differences(tables.blocks(spark, sf_dir)).select("frame", S.div(F.col("sad"), 8).alias("sad"), "occlusion", (F.col("frame") % 16).alias("col"), F.expr("frame div 16").alias("row"))
+    return search.with_cells(rows).select("frame", "cell_sad", ((F.col("cell_sad") >= 1500) | (F.col("cell_occlusion") >= 2)).alias("busy"))
+
+
 @query(f"WITH {PX}, keep AS (SELECT vec_id AS frame FROM embeddings WHERE label = (SELECT min(label) FROM embeddings)) SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM px WHERE frame IN (SELECT frame FROM keep) GROUP BY frame")
 def frame_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "embeddings")
@@ -363,10 +370,21 @@ _NUMBERS = f"WITH {COEF}, c AS (SELECT frame, {BAND} AS band, y * 8 + x AS p, lp
 
 @query(f"{_NUMBERS} SELECT 's' || (frame // 50) AS stream_id, CAST(frame % 50 AS BIGINT) AS frame_no, CASE WHEN frame % 10 = 0 THEN 'I' ELSE 'P' END AS kind, CASE WHEN frame % 10 <> 0 THEN '0102' END AS mvs, CASE WHEN frame % 10 > 4 THEN '7F' END AS ref_dir, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'LL') AS layer0, string_agg(h, '' ORDER BY p) FILTER (WHERE band IN ('HL', 'LH')) AS layer1, string_agg(h, '' ORDER BY p) FILTER (WHERE band = 'HH') AS layer2 FROM c GROUP BY frame")
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = container.read_streams(container.write_streams(_packets(spark, sf_dir), 8, 8, 30))
+    back = container.read_files(container.write_files(_packets(spark, sf_dir), shared_folder(spark, "streams"), 8, 8, 30))
     return back.select("stream_id", "frame_no", "kind", *(F.hex(p).alias(p) for p in container.PAYLOADS))
 
 
+_SIZES = "s AS (SELECT vec_id // 50 AS s, vec_id % 50 AS n, 21 + 128 + CASE WHEN vec_id % 10 <> 0 THEN 2 ELSE 0 END + CASE WHEN vec_id % 10 > 4 THEN 1 ELSE 0 END AS size FROM embeddings), e AS (SELECT s, n, 16 + sum(size) OVER (PARTITION BY s ORDER BY n) AS stop, 16 + sum(size) OVER (PARTITION BY s) AS whole FROM s), c AS (SELECT *, CASE s % 3 WHEN 0 THEN whole WHEN 1 THEN whole - 200 ELSE 9 END AS left_over FROM e)"
+
+
+@query(f"WITH {_SIZES} SELECT 's' || s AS stream_id, count(*) FILTER (WHERE s % 3 <> 2 AND stop <= left_over) AS frames, CASE s % 3 WHEN 1 THEN 'a packet is cut off' WHEN 2 THEN 'the header is too short' END AS problem FROM c GROUP BY s")
+def checked_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third stream lacks its last 200 bytes, every third all but nine."""
+    streams = container.write_streams(_packets(spark, sf_dir), 8, 8, 30).withColumn("k", F.substring("stream_id", F.lit(2), F.lit(20)).cast("long") % 3)
+    cut = F.when(F.col("k") == 0, F.col("data")).when(F.col("k") == 1, F.substring("data", F.lit(1), F.octet_length("data") - 200)).otherwise(F.substring("data", F.lit(1), F.lit(9)))
+    return container.checked_streams(streams.select("stream_id", cut.alias("data")))
+
+
 @query("SELECT count(*) AS frames, CAST(sum(32 + CASE WHEN vec_id % 10 <> 0 THEN 2 ELSE 0 END + CASE WHEN vec_id % 10 > 4 THEN 1 ELSE 0 END) AS BIGINT) AS kept_bytes, count(*) * 96 AS dropped_bytes FROM embeddings")
 def layer_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.dropped_bytes(_packets(spark, sf_dir), 0)

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,107 @@ def write_streams(packets: DataFrame, width: int, height: int, rate: int) -> Dat
     return packets.select("stream_id", "frame_no", packet_bytes().alias("packet")).groupBy("stream_id").applyInArrow(join, "stream_id string, data binary")
 
 
+def write_files(packets: DataFrame, folder: str, width: int, height: int, rate: int) -> DataFrame:
+    """Writes a file for each stream below ``folder``, a URI that all executors share, packet by packet: (stream_id, path, bytes). A task holds one batch of packets, however long a stream is; a repeated task writes the same files again."""
+    head = file_header(width, height, rate)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        now, out, size = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"stream_id": pa.array([now], pa.string()), "path": [f"{folder}/{now}.stream"], "bytes": pa.array([size], pa.int64())})
+
+        for batch in batches:
+            for stream, packet in zip(batch.column("stream_id").to_pylist(), batch.column("packet"), strict=True):
+                if out is None or stream != now:
+                    if out is not None:
+                        yield done()
+                    now, out, size = stream, store.open_output_stream(f"{root}/{stream}.stream", compression=None), len(head)
+                    out.write(head)
+                out.write(packet.as_buffer())
+                size += len(packet.as_buffer())
+        if out is not None:
+            yield done()
+
+    rows = packets.select("stream_id", "frame_no", packet_bytes().alias("packet")).repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    return rows.select("stream_id", "packet").mapInArrow(run, "stream_id string, path string, bytes long")
+
+
+def cut_file(source: pa.NativeFile, strict: bool = True) -> Iterator[tuple]:
+    """cut_stream() of an open file, packet by packet."""
+    head = source.read(6)
+    if len(head) < 6 or head[:4] != MAGIC:
+        raise BadStream("no magic")
+    read_header(head + source.read(struct.unpack(">H", head[4:])[0]))
+    frame = 0
+    while flag := source.read(1):
+        kind = next((k for k, v in KINDS.items() if v == flag[0] & 0x0F), None)
+        if kind is None:
+            raise BadStream(f"unknown packet {flag[0]}")
+        if kind == "COPY":
+            yield frame, kind, (None,) * 5
+        else:
+            lengths = source.read(20)
+            sizes = struct.unpack(">5I", lengths) if len(lengths) == 20 else ()
+            parts = [source.read(n) if n else None for n in sizes]
+            if not sizes or any(len(p or b"") != n for p, n in zip(parts, sizes, strict=True)):
+                if strict:
+                    raise BadStream("a packet is cut off")
+                return
+            if bool(flag[0] & HAS_DIRECTIONS) != bool(sizes[1]):
+                raise BadStream("directions and their flag differ")
+            yield frame, kind, tuple(parts)
+        frame += 1
+
+
+_PACKET_TYPES = (pa.string(), pa.int64(), pa.string(), *(pa.binary(),) * 5)
+
+
+def read_files(files: DataFrame, strict: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``packets`` of (stream_id, path), read packet by packet."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["stream_id", "frame_no", "kind", *PAYLOADS]
+        for batch in batches:
+            for stream, path in zip(batch.column("stream_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                store, name = pafs.FileSystem.from_uri(path)
+                rows, size = [], 0
+                with store.open_input_stream(name, compression=None) as source:
+                    for n, kind, parts in cut_file(source, strict):
+                        rows.append((stream, n, kind, *parts))
+                        size += 100 + sum(len(p or b"") for p in parts)
+                        if size > batch_bytes:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKET_TYPES, strict=True)], names)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKET_TYPES, strict=True)], names)
+
+    return files.select("stream_id", "path").mapInArrow(run, PACKETS)
+
+
+def checked_streams(files: DataFrame) -> DataFrame:
+    """(stream_id, frames, problem) of (stream_id, data): how many packets can be read, and what is wrong with the rest; bad streams are set aside, not raised."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stream, data in zip(batch.column("stream_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                frames, problem = 0, None
+                try:
+                    for _ in cut_stream(data):
+                        frames += 1
+                except BadStream as e:
+                    problem = str(e)
+                out.append((stream, frames, problem))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["stream_id", "frames", "problem"])
+
+    return files.select("stream_id", "data").mapInArrow(run, "stream_id string, frames long, problem string")
+
+
 def cut_stream(data: bytes, strict: bool = True) -> Iterator[tuple]:
     """(frame number, kind, payloads) of each packet; a truncated end is an error, or with ``strict`` off the end."""
     _, _, _, at = read_header(data)

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 SIGNATURE, MARK = b"YUV4MPEG2 ", b"FRAME\n"
 SCHEMA = "frame_no long, width int, height int, fps int, y binary, cb binary, cr binary"
@@ -124,6 +124,32 @@ class _Writer(DataSourceWriter):
                 store.delete_file(m.name)
 
 
+class _StreamReader(SimpleDataSourceStreamReader):
+    """A file that grows: the frames that are whole, so many a batch at most, so a reader that falls behind holds no more than these."""
+
+    def __init__(self, path: str, frames: int):
+        self.path, self.frames = path, frames
+
+    def initialOffset(self) -> dict:
+        return {"frame": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        with _open(self.path) as f:
+            width, height, _, _, head = parse_header(f.read(4096))
+            whole = (f.size() - head) // (len(MARK) + sum(plane_sizes(width, height)))
+        stop = min(whole, start["frame"] + self.frames)
+        return self._frames(start["frame"], stop), {"frame": stop}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return self._frames(start["frame"], end["frame"])
+
+    def _frames(self, first: int, stop: int) -> Iterator[tuple]:
+        return iter(list(_Reader(self.path, self.frames).read(_Slice(self.path, first, first, stop - first))))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class Y4M(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -135,5 +161,8 @@ class Y4M(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], int(self.options.get("framesPerTask", 16)))
 
+    def simpleStreamReader(self, schema):
+        return _StreamReader(self.options["path"], int(self.options.get("framesPerBatch", 2)))
+
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])

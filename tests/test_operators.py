@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import blocks as B
-from tessera.operators import coding, fidelity, models, ordered, planes
+from tessera.operators import coding, fidelity, models, ordered, planes, search
 from tessera.sources import container as C
 from tessera.sources import png, y4m
 from tessera.streaming import sessions
@@ -319,3 +320,43 @@ def test_plan_has_each_block_once(spark):
 def test_initial_steps():
     assert planes.initial_step(1, 100, 100, 10**9) == 1 and planes.initial_step(10**6, 1, 10**6, 1) == 256
     assert planes.initial_step(5_000, 64, 64, 50_000) == 64 * 5_000 * 78 // 5_000_000
+
+
+def test_streams_as_files(spark, tmp_path):
+    rows = [(s, n, "COPY", None, None, None, None, None) if n % 4 == 3 else (s, n, "I" if n == 0 else "P", None if n == 0 else b"mv", b"d" if n == 2 else None, bytes([n]) * 50, None, b"x" * n or None) for s in ("a", "b") for n in range(9)]
+    files = C.write_files(spark.createDataFrame(rows, C.PACKETS).repartition(3), f"file://{tmp_path}/out", 16, 8, 30)
+    sizes = {r.stream_id: r.bytes for r in files.collect()}
+    assert all((tmp_path / "out" / f"{s}.stream").stat().st_size == n for s, n in sizes.items())
+    plain = lambda df: sorted((r[0], r[1], r[2], *(None if p is None else bytes(p) for p in r[3:])) for r in df.collect())
+    assert plain(C.read_files(files, batch_bytes=200)) == plain(spark.createDataFrame(rows, C.PACKETS))
+    data = (tmp_path / "out" / "a.stream").read_bytes()
+    whole = list(C.cut_stream(data))
+    for k in range(17, len(data), 7):
+        got = list(C.cut_file(pa.BufferReader(data[:k]), strict=False))
+        assert got == whole[: len(got)] == list(C.cut_stream(data[:k], strict=False))
+    checked = C.checked_streams(spark.createDataFrame([("a", data), ("b", data[:-1]), ("c", b"no")], "stream_id string, data binary"))
+    assert sorted(tuple(r) for r in checked.collect()) == [("a", 9, None), ("b", 8, "a packet is cut off"), ("c", 0, "no magic")]
+
+
+def test_y4m_stream_takes_few_frames_a_batch(spark, tmp_path):
+    spark.dataSource.register(y4m.Y4M)
+    frames = [(k, 2, 2, 25, bytes([k] * 4), b"u", b"v") for k in range(7)]
+    path = str(tmp_path / "clip.y4m")
+    spark.createDataFrame(frames, y4m.SCHEMA).coalesce(1).sortWithinPartitions("frame_no").write.format("y4m").mode("append").save(path)
+    with open(path, "rb+") as f:
+        f.seek(0, 2)
+        f.truncate(f.tell() - 3)  # the last frame is still being written
+    q = spark.readStream.format("y4m").option("framesPerBatch", 2).load(path).writeStream.format("memory").queryName("y4m_live").start()
+    try:
+        q.processAllAvailable()
+        got = sorted((r.frame_no, bytes(r.y)) for r in spark.table("y4m_live").collect())
+        assert got == [(k, bytes([k] * 4)) for k in range(6)]
+        assert max(p["numInputRows"] for p in q.recentProgress) <= 2
+    finally:
+        q.stop()
+
+
+def test_previous_frames_over_the_edges_of_runs(spark):
+    blocks = spark.createDataFrame([(k, [k, k]) for k in range(25) if k != 13], "frame long, coef array<int>")
+    got = {r.frame: r.before for r in search.with_previous(blocks, 4).collect()}
+    assert got == {k: None if k in (0, 14) else [k - 1] * 2 for k in range(25) if k != 13}
