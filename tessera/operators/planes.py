@@ -391,3 +391,101 @@ def block_bits(x: np.ndarray, steps: tuple[int, int, int]) -> np.ndarray:
 def initial_step(bits: int, samples: int, of: int, target: int, probe: int = 64, scale: int = 78) -> int:
     """The first step, from the bits of ``samples`` of ``of`` samples at the probing step."""
     return max(1, min(256, probe * (bits * of // samples) * scale // (target * 100)))
+
+
+# Searched motion
+
+#: Differences below which a search ends: standing still, and after the wide steps; above the third the field before is asked too.
+STILL, NEAR, ASK_BEFORE = 32, 64, 512
+#: What a half and a quarter of a sample cost, since they blur.
+HALF_COST, QUARTER_COST = 16, 4
+_WIDE = ((-2, 0), (-1, -1), (-1, 1), (0, -2), (0, 2), (1, -1), (1, 1), (2, 0))
+_CLOSE = ((-1, 0), (0, -1), (0, 1), (1, 0))
+
+
+class _Search:
+    """Search of one block's displacement; coordinates beyond an edge are the edge's."""
+
+    def __init__(self, now: np.ndarray, before: np.ndarray, row: int, col: int, block: int, reach: int):
+        self.tile, self.before, self.reach = now[row : row + block, col : col + block], before, reach
+        self.y, self.x = np.arange(row, row + block)[:, None], np.arange(col, col + block)
+        self.known: dict[tuple[int, int], int] = {}
+
+    def error(self, dy: int, dx: int) -> int:
+        if (dy, dx) not in self.known:
+            height, width = self.before.shape
+            self.known[dy, dx] = int(np.abs(self.tile - self.before[np.clip(self.y + dy, 0, height - 1), np.clip(self.x + dx, 0, width - 1)]).sum())
+        return self.known[dy, dx]
+
+    def best(self, guess: tuple[int, int]) -> tuple[int, int, int]:
+        """(dy, dx, error): from the guess, or from where it stands, two wide steps and as many close ones as help; a displacement costs its distance from the guess."""
+        if self.error(0, 0) < STILL:
+            return 0, 0, self.error(0, 0)
+        bound = lambda v: max(-self.reach, min(self.reach, v))
+        guess = bound(guess[0]), bound(guess[1])
+        cost = lambda at: self.error(*at) + abs(at[0] - guess[0]) + abs(at[1] - guess[1])
+        here = min(((0, 0), guess), key=cost)
+        for steps, turns in ((_WIDE, 2), (_CLOSE, 2 * self.reach)):
+            if steps is _CLOSE and self.error(*here) < NEAR:
+                break
+            for _ in range(turns):
+                there = min([here, *((bound(here[0] + a), bound(here[1] + b)) for a, b in steps)], key=cost)
+                if there == here:
+                    break
+                here = there
+        return *here, self.error(*here)
+
+
+def between(search: _Search, dy: int, dx: int, error: int) -> tuple[int, int, int]:
+    """(dy, dx, error) in quarters of a sample: halves, then quarters around the best one, where they are better by more than they cost."""
+    if error < NEAR:
+        return 4 * dy, 4 * dx, error
+    block = search.tile.shape[0]
+
+    def cost(qy: int, qx: int) -> int:
+        height, width = search.before.shape
+        y, x = search.y + (qy >> 2), search.x + (qx >> 2)
+        ry, rx = qy & 3, qx & 3
+        at = lambda j, i: search.before[np.clip(y + j, 0, height - 1), np.clip(x + i, 0, width - 1)]
+        whole = (4 - rx) * (4 - ry) * at(0, 0) + rx * (4 - ry) * at(0, 1) + (4 - rx) * ry * at(1, 0) + rx * ry * at(1, 1)
+        return int(np.abs(search.tile - ((whole + 7 >> 4) if rx or ry else at(0, 0))).sum())
+
+    here = (4 * dy, 4 * dx, error)
+    for size, more in ((2, HALF_COST), (1, QUARTER_COST)):
+        around = [(here[0] + a * size, here[1] + b * size) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+        best = min(((cost(*q) + more * block * block // 64, q) for q in around), key=lambda c: c[0])
+        if best[0] < here[2]:
+            here = (*best[1], best[0])
+    return here
+
+
+def searched_field(now: np.ndarray, before: np.ndarray, block: int, reach: int, last: np.ndarray | None = None, median: bool = False) -> np.ndarray:
+    """(blocks, 3) of dy, dx and error in quarters of a sample, block by block: each search starts from the vector to the left, or with ``median`` from the median of those to the left, above and above to the right; where the error stays large, also from the block's vector in the field before."""
+    across = now.shape[1] // block
+    out = np.zeros((now.shape[0] // block * across, 3), np.int64)
+    for k in range(len(out)):
+        row, col = divmod(k, across)
+        vector = lambda r, c: out[r * across + c, :2] if 0 <= c < across and r >= 0 else np.zeros(2, np.int64)
+        near = [vector(row, col - 1)] + ([vector(row - 1, col), vector(row - 1, col + 1)] if median else [])
+        guess = np.median(near, axis=0).astype(np.int64) >> 2
+        search = _Search(now, before, row * block, col * block, block, reach)
+        found = search.best((int(guess[0]), int(guess[1])))
+        if last is not None and found[2] > ASK_BEFORE:
+            found = min(found, search.best((int(last[k, 0]) >> 2, int(last[k, 1]) >> 2)), key=lambda f: f[2])
+        out[k] = between(search, *found)
+    return out
+
+
+def searched_fields(planes: DataFrame, side: int, block: int, reach: int, stream: int = 8, median: bool = False) -> DataFrame:
+    """(plane, vectors): the searched field of each plane after the first of its stream; the field before goes from plane to plane, a stream a task."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = last = None
+        for plane, coef in sorted((r for b in batches for r in zip(b.column("plane").to_pylist(), b.column("coef").to_pylist(), strict=True)), key=lambda r: r[0]):
+            now = np.array(coef, np.int64).reshape(side, side)
+            if before is not None:
+                last = searched_field(now, before, block, reach, last, median)
+                yield pa.RecordBatch.from_arrays([pa.array([plane], pa.int64()), pa.array([last.reshape(-1).tolist()], pa.list_(pa.int64()))], ["plane", "vectors"])
+            before = now
+
+    return planes.withColumn("stream", F.expr(f"plane div {stream}")).select("stream", "plane", "coef").groupBy("stream").applyInArrow(run, "plane long, vectors array<long>")

@@ -225,6 +225,14 @@ def two_way_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(found, "dx", "dy", "backward", "cost")
 
 
+@query()
+def searched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each search starts from what was found before it, so this is a fold over blocks and planes; tests hold it against whole windows."""
+    found = P.searched_fields(_planes(spark, sf_dir), SIDE, 8, 8, STREAM)
+    each = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(F.get("vectors", k * 3).alias("dy"), F.get("vectors", k * 3 + 1).alias("dx"), F.get("vectors", k * 3 + 2).alias("cost")))
+    return found.select("plane", F.posexplode(each).alias("position", "v")).select("plane", "position", "v.dy", "v.dx", "v.cost")
+
+
 # Seams
 
 _SHIFT, _FLATNESS = 11, 22

@@ -360,3 +360,28 @@ def test_previous_frames_over_the_edges_of_runs(spark):
     blocks = spark.createDataFrame([(k, [k, k]) for k in range(25) if k != 13], "frame long, coef array<int>")
     got = {r.frame: r.before for r in search.with_previous(blocks, 4).collect()}
     assert got == {k: None if k in (0, 14) else [k - 1] * 2 for k in range(25) if k != 13}
+
+
+@pytest.mark.parametrize("median", [False, True])
+def test_searched_motion(median):
+    y, x = np.indices((48, 48))
+    scene = (60 * np.sin(x / 7) + 50 * np.cos(y / 9) + 30 * np.sin((x + y) / 11)).round().astype(np.int64) * 8
+    before, now = scene[4:36, 4:36], scene[6:38, 3:35]  # the picture goes two rows up and one column to the right
+    field = planes.searched_field(now, before, 8, 6, median=median)
+    # the median of a first row, whose upper neighbours count as standing still, is a poor guess
+    inner = field.reshape(4, 4, 3)[int(median) : -1, 1:]
+    assert (inner[..., 0] == 8).all() and (inner[..., 1] == -4).all() and (inner[..., 2] == 0).all()
+    # never worse than standing still, never better than the whole window of whole samples where nothing is refined
+    rng = np.random.default_rng(1)
+    noise, other = rng.integers(-200, 200, (2, 32, 32))
+    field = planes.searched_field(noise, other, 8, 3, median=median)
+    dx, dy, least = planes.best_vectors(noise[None], other[None], 8, 3)
+    still = np.abs(noise - other).reshape(4, 8, 4, 8).sum((1, 3)).reshape(-1)
+    assert (field[:, 2] <= still + 8).all()
+    whole = (field[:, :2] % 4 == 0).all(1)
+    assert (field[whole, 2] >= least[0][whole]).all()
+    # nearly equal planes stand still; a large error asks the field before
+    assert (planes.searched_field(noise, noise, 8, 3) == 0).all()
+    last = np.zeros((16, 3), np.int64)
+    last[:, 0], last[:, 1] = dy[0] * 4, dx[0] * 4
+    assert planes.searched_field(noise, other, 8, 3, last, median)[:, 2].sum() <= field[:, 2].sum()
