@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
+from tessera.operators import planes as P
 
 
 def with_previous(blocks: DataFrame, span: int = 1000) -> DataFrame:
@@ -34,19 +36,14 @@ def frame_differences(blocks: DataFrame) -> DataFrame:
     return both.select("frame", sad(F.col("coef"), F.col("before")).alias("sad"), S.div(sad(F.col("coef"), F.col("before"), 4) * 4, 64).alias("fast"), (F.array_max("coef") - F.array_min("coef")).cast("long").alias("contrast"), S.div(_sum(columns), 64).alias("occlusion"))
 
 
-def best_offset(blocks: DataFrame, reach: int = 2) -> DataFrame:
+def best_offset(blocks: DataFrame, reach: int = 2, side: int = 8) -> DataFrame:
     """(frame, dx, dy, cost): the displacement of the previous frame that fits best, out of a small window; coordinates are clamped and earlier offsets win ties."""
-    both = with_previous(blocks).where("before is not null")
-    side = 2 * reach + 1
 
-    def cost(k: Column) -> Column:
-        dy, dx = S.div(k, side) - reach, k % side - reach
-        inside = lambda v: F.greatest(F.lit(0).cast("long"), F.least(F.lit(7).cast("long"), v))
-        moved = F.transform("coef", lambda v, p: F.abs(v - F.get("before", (inside(S.div(p, 8) + dy) * 8 + inside(p % 8 + dx)).cast("int"))))
-        return F.struct(_sum(moved).alias("cost"), k.alias("k"))
+    def kernel(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = P.best_vectors(P.array(batch.column("coef"), side, side), P.array(batch.column("before"), side, side), side, reach)
+        return [batch.column("frame"), *(pa.array(v[:, 0].astype("int64")) for v in found)]
 
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cost))
-    return both.select("frame", best.alias("b")).select("frame", (F.col("b.k") % side - reach).cast("long").alias("dx"), (S.div(F.col("b.k"), side) - reach).alias("dy"), F.col("b.cost").alias("cost"))
+    return P.mapped(with_previous(blocks).where("before is not null").select("frame", "coef", "before"), "frame long, dx long, dy long, cost long", kernel)
 
 
 def predicted_vectors(offsets: DataFrame) -> DataFrame:
