@@ -43,6 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def tasks(df: DataFrame, expansion: float = 1.0) -> int:
     """Reduce tasks for ``expansion`` times the input's bytes, never fewer than the session's shuffle partitions."""
     spark = df.sparkSession
