@@ -1,6 +1,6 @@
 """Approximate nearest neighbours for maximum inner product by score-aware quantisation.
 
-Vectors are cut into subspaces of ``SUB`` components with 16 codewords each, four bits. Codewords are fitted, on a
+Vectors, at length 1 and with their norms beside them, are cut into subspaces of ``SUB`` components with 16 codewords each, four bits. Codewords are fitted, on a
 bounded sample, to the anisotropic loss: the part of the residual that is parallel to the vector, which
 moves large inner products most, weighs ``eta`` times the rest. Every row is encoded under the same loss.
 
@@ -219,7 +219,8 @@ class _Index:
         by = np.argsort(back, kind="stable")
         self.bounds = np.searchsorted(back[by], np.arange(len(place) + 1))
         self.ids, self.k = ids[by], k
-        codes = encode(_padded(vectors[first[place]]), books, eta)
+        self.norms = np.linalg.norm(self.vectors, axis=1).astype(np.float32)
+        codes = encode(_padded(_unit(self.vectors)), books, eta)
         self.codes = np.ascontiguousarray((codes[:, ::2] * WORDS + codes[:, 1::2]).T.astype(np.uint8))
 
     def search(self, qids: np.ndarray, queries: np.ndarray, books: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,6 +233,7 @@ class _Index:
             score = np.take(pairs[:, 0], self.codes[0], axis=1)
             for j in range(1, len(self.codes)):
                 score += np.take(pairs[:, j], self.codes[j], axis=1)
+            score *= self.norms
             near = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
         else:
             near = np.broadcast_to(np.arange(n), (len(queries), n))
@@ -322,7 +324,7 @@ def nearest(rows: DataFrame, config: AnnConfig = AnnConfig()) -> DataFrame:
     eta = (d - 1) * config.threshold**2 / (1 - config.threshold**2) if d > 1 else 1.0
     eta = max(1.0, eta)
     x = np.array([r[0] for r in sample], np.float32)
-    books = fit(_padded(x), eta, config.rounds)
+    books = fit(_padded(_unit(x)), eta, config.rounds)
     rows_in_all, n = common[0]["count"], tasks(rows, 0.25)
     found = centres(x, max(1, min(CELLS, len(x) // 32, -(-rows_in_all // CELL_ROWS))))
     many = visits(x, found, config)
