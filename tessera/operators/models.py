@@ -76,7 +76,7 @@ def choose(found: DataFrame, key: str) -> DataFrame:
     return cost.withColumn("model", F.when(F.col("static_cost") == best, "static").when(F.col("merged_cost") == best, "merged").otherwise("own"))
 
 
-def lookup(slots: DataFrame, rows: DataFrame) -> DataFrame:
-    """The token of each slot: the interval [cum, cum + freq) that holds it, by expanding the model's 16384 slots into an equi-join."""
-    table = rows.select("token", F.explode(F.sequence("cum", F.col("cum") + F.col("freq") - 1)).alias("slot"))
-    return slots.join(F.broadcast(table), "slot")  # 16384 rows
+def lookup(slots: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """The token of each slot in its model: the interval [cum, cum + freq) that holds it, by expanding each model's 16384 slots into an equi-join."""
+    table = rows.select(*keys, "token", F.explode(F.sequence("cum", F.col("cum") + F.col("freq") - 1)).alias("slot"))
+    return slots.join(F.broadcast(table), [*keys, "slot"])  # 16384 rows a model

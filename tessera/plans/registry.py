@@ -213,11 +213,12 @@ def model_cost_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.choose(models.models(models.histogram(_tokens(spark, sf_dir), "ctx"), "ctx"), "ctx")
 
 
-@query(f"WITH {_MODEL}, cums AS (SELECT token, freq, coalesce(sum(freq) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM model WHERE ctx = 0), {SERIES} SELECT s.event_id, CAST(s.v % 16384 AS BIGINT) AS slot, c.token FROM series s JOIN cums c ON s.v % 16384 >= c.cum AND s.v % 16384 < c.cum + c.freq")
+@query(f"WITH {_MODEL}, cums AS (SELECT ctx, token, freq, coalesce(sum(freq) OVER (PARTITION BY ctx ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM model), {SERIES} SELECT s.event_id, s.event_id % 8 AS ctx, CAST(s.v % 16384 AS BIGINT) AS slot, c.token FROM series s JOIN cums c ON c.ctx = s.event_id % 8 AND s.v % 16384 >= c.cum AND s.v % 16384 < c.cum + c.freq")
 def slot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = models.rows_of(models.models(models.histogram(_tokens(spark, sf_dir).where("ctx = 0"), "ctx"), "ctx"), "ctx")
-    slots = tables.series(spark, sf_dir).select("event_id", (F.col("v") % 16384).cast("long").alias("slot"))
-    return models.lookup(slots, found).select("event_id", "slot", "token")
+    """Each slot in the model of its context; there are eight."""
+    found = models.rows_of(models.models(models.histogram(_tokens(spark, sf_dir), "ctx"), "ctx"), "ctx").withColumn("ctx", F.col("ctx").cast("long"))
+    slots = tables.series(spark, sf_dir).select("event_id", (F.col("event_id") % 8).alias("ctx"), (F.col("v") % 16384).cast("long").alias("slot"))
+    return models.lookup(slots, found, "ctx").select("event_id", "ctx", "slot", "token")
 
 
 # Sequences
