@@ -40,7 +40,8 @@ from ._spark import documents
 TABLE = 0x500
 #: Words and pairs that a worker keeps.
 CACHE = 400_000
-BATCH_BYTES = 4 << 20
+#: Characters whose classes are looked up at once.
+PLACES = 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -204,8 +205,10 @@ class Vocabulary:
     def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """The words of normalised texts within the table, and the number of each text's first word."""
         whole = " ".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        kind = np.append(self.classes[points], np.uint8(0))
+        points = np.frombuffer(whole.encode("utf-16-le"), np.uint16)  # all are below TABLE
+        kind = np.zeros(len(points) + 1, np.uint8)
+        for at in range(0, len(points), PLACES):  # NumPy makes 8 bytes of each place that it looks up
+            kind[at : at + PLACES][: len(points) - at] = self.classes[points[at : at + PLACES]]
         before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
         first = (kind != 0) & ((kind != before) | (kind == 2))
         for at in np.flatnonzero(first[:-1] & (points == 39)).tolist():
@@ -217,11 +220,11 @@ class Vocabulary:
                     first[at + 1] = False
                     first[at + size] = kind[at + size] != 0
         starts = np.flatnonzero(first)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800)
+        width = np.uint8(1) + (points >= 0x80)
         inside = kind[:-1] != 0
-        ends = np.concatenate([[0], np.cumsum(width * inside)])
         data = np.frombuffer(whole.encode(), np.uint8)[np.repeat(inside, width)]
-        offsets = np.append(ends[starts], ends[-1])
+        # what follows a word up to the next one has no width
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(width * inside, starts, dtype=np.int64))]) if len(starts) else np.zeros(1, np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         return words, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
@@ -291,12 +294,12 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for piece in T.pieces(batches, "text", BATCH_BYTES):
+        for piece in T.pieces(batches, "text"):
             ids, offsets = vocab.encode([t or "" for t in piece.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], [*others, "token_ids"])
 
     slim = docs.select(*others, F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, slim.drop("text").schema.add("token_ids", ArrayType(IntegerType())))
+    return slim.mapInArrow(T.lean(run), slim.drop("text").schema.add("token_ids", ArrayType(IntegerType())))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -312,7 +315,7 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([t.decode() for t in texts], pa.string())], [*others, "text"])
 
     slim = rows.select(*others, "token_ids")
-    return slim.mapInArrow(run, slim.drop("token_ids").schema.add("text", StringType()))
+    return slim.mapInArrow(T.lean(run), slim.drop("token_ids").schema.add("text", StringType()))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -322,8 +325,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         digest = lambda rows: [hashlib.sha256(r).hexdigest() for r in rows]
-        for piece in T.pieces(batches, "text", BATCH_BYTES):
+        for piece in T.pieces(batches, "text"):
             ids, offsets = vocab.encode([t or "" for t in piece.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digest(vocab.decimals(ids, offsets))), pa.array(digest(vocab.decode(ids, offsets)))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(docs).mapInArrow(T.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -80,7 +80,7 @@ def shingle_classes(docs: DataFrame, width: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(_fingerprints(sets), mask=sizes == 0)], ["doc_id", "n_shingles", "class"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(T.lean(run), "doc_id long, n_shingles long, class long")
 
 
 def _entries(width: int, n: int):
@@ -331,14 +331,14 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies
     class that has any: (class, n_links), the copies of all its partners."""
     n = tasks(docs, 2)
     percent = config.percent
-    entries = docs.mapInArrow(_entries(config.width, n), "b int, classes binary, sizes binary, counts binary, tokens binary").repartitionById(n, "b")
-    shared = entries.mapInArrow(_shared(n), "b int, classes binary, sizes binary, counts binary, tokens binary, dfs binary").repartitionById(n, "b")
-    alive = cut(shared.mapInArrow(_survivors(percent), "class long, n long, prefix int, tokens binary"))
+    entries = docs.mapInArrow(T.lean(_entries(config.width, n)), "b int, classes binary, sizes binary, counts binary, tokens binary").repartitionById(n, "b")
+    shared = entries.mapInArrow(T.lean(_shared(n)), "b int, classes binary, sizes binary, counts binary, tokens binary, dfs binary").repartitionById(n, "b")
+    alive = cut(shared.mapInArrow(T.lean(_survivors(percent)), "class long, n long, prefix int, tokens binary"))
     alive = alive.withColumn("copies", F.lit(1).cast("long")) if copies is None else cut(alive.join(copies, "class"))
 
     edges = None
     for turn in range(config.rounds):
-        keyed = alive.mapInArrow(_keys(turn), "class long, key long")
+        keyed = alive.mapInArrow(T.lean(_keys(turn)), "class long, key long")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("leader")).where("members > 1")
         grouped = _salted(keyed, sizes, "key")
         parts = F.ceil(F.col("members") / config.group_size).cast("long")
@@ -351,7 +351,7 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies
     labels = components(edges)
 
     # where each class goes is worked out on slim rows; their tokens join last, by class
-    slim = alive.mapInArrow(_commonest, "class long, token long").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    slim = alive.mapInArrow(T.lean(_commonest), "class long, token long").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     slim = _salted(slim, slim.groupBy("label").agg(F.count("*").alias("members")), "label")
     # small components share groups with others that have the same commonest token; large ones have groups of their own
     slim = slim.withColumn("small", F.col("members") * SMALL_SHARE <= config.group_size)
@@ -359,7 +359,7 @@ def class_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), copies
     crowd = slim.groupBy("group").agg(F.ceil(F.count("*") / config.group_size).cast("long").alias("parts"))
     slim = _salted(slim, crowd, "group").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts")
     placed = cut(alive.join(slim, "class"))
-    rows = placed.select(*QUERY, "prefix", "tokens").where("prefix > 0").mapInArrow(_prefixes, "class long, n long, label long, group long, part long, members long, small boolean, token long")
+    rows = placed.select(*QUERY, "prefix", "tokens").where("prefix > 0").mapInArrow(T.lean(_prefixes), "class long, n long, label long, group long, part long, members long, small boolean, token long")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("crowd")).where("lo < hi" if copies is None else "crowd > 1").select("token")
     rows = cut(rows.join(mixed, "token"))
     matrix = rows.groupBy("token", "group", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("members"), F.first("small").alias("small"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("crowd"))

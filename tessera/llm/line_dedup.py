@@ -133,7 +133,7 @@ def frequent_fingerprints(docs: DataFrame, min_words: int, n: int) -> np.ndarray
             # the largest are sent on; how many of them are frequent is known when all are counted
             yield pa.RecordBatch.from_pydict({"prints": [prints[keep].tobytes()], "counts": [sums[keep].tobytes()], "all": [int(sums.sum())]})
 
-    parts = docs.mapInArrow(gather, "b int, prints binary, counts binary").repartitionById(n, "b").mapInArrow(total, "prints binary, counts binary, all long")
+    parts = docs.mapInArrow(T.lean(gather), "b int, prints binary, counts binary").repartitionById(n, "b").mapInArrow(T.lean(total), "prints binary, counts binary, all long")
     return _frequent(parts)
 
 
@@ -147,7 +147,7 @@ def _frequent(parts: DataFrame) -> np.ndarray:
             for prints, counts in zip(batch.column("prints").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pydict({"prints": [np.frombuffer(prints, np.uint64)[np.frombuffer(counts, np.int64) > least].tobytes()]})
 
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in parts.mapInArrow(run, "prints binary").collect())]))
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in parts.mapInArrow(T.lean(run), "prints binary").collect())]))
 
 
 SENT = "b int, kind int, keys binary, docs binary, texts binary, lows binary, highs binary, lines binary"
@@ -301,8 +301,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     n = tasks(docs, 0.5)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     frequent = frequent_fingerprints(slim.select("doc_id", "text"), min_words, n)
-    sent = slim.mapInArrow(_emit(min_words, frequent, n), SENT).repartitionById(n, "b")
-    return sent.mapInArrow(_repeats(min_words), "doc_id long, text_hash long, lows binary, highs binary").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lows", "highs")).alias("spans"))
+    sent = slim.mapInArrow(T.lean(_emit(min_words, frequent, n)), SENT).repartitionById(n, "b")
+    return sent.mapInArrow(T.lean(_repeats(min_words)), "doc_id long, text_hash long, lows binary, highs binary").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lows", "highs")).alias("spans"))
 
 
 def _cut_lines(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
@@ -349,4 +349,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, report: bool = False) -> D
                 columns[text_at] = texts
                 yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names[:-1])
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, deleted string, text string" if report else docs.schema)
+    return joined.mapInArrow(T.lean(run), "doc_id long, n_lines long, n_deleted long, deleted string, text string" if report else docs.schema)

@@ -1,6 +1,9 @@
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from tessera.llm import bpe, mixing, quality
 
 from . import brute
@@ -41,3 +44,48 @@ def test_entry_lists_pipeline_and_operators():
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def _free_but_held(batches):
+    """MB that a worker gives back when it is asked to."""
+    import ctypes
+    import re
+    import time
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    for _ in batches:
+        pass
+    time.sleep(1)  # so that each task has a worker of its own
+    before = held()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    yield pa.RecordBatch.from_pydict({"mb": [before - held()]})
+
+
+@pytest.mark.parametrize("k", [0, 1, 4])
+def test_workers_give_memory_back_after_a_stage(spark, k):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    spark.sparkContext.environment["TESSERA_WORKERS"] = f"of this test {k}"  # workers of their own
+    try:
+        corpus_pipeline.STAGES[k][1](spark, docs, "").write.format("noop").mode("overwrite").save()
+        left = [r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(_free_but_held, "mb double").collect()]
+    finally:
+        del spark.sparkContext.environment["TESSERA_WORKERS"]
+    assert len(left) == 4 and max(left) < 12
+
+
+def test_splitting_a_text_takes_few_times_its_size():
+    vocabulary = bpe.Vocabulary(bpe.default_vocabulary())
+    text = "Wörter über words, it's 12 naïve lines\n" * 30_000
+    size = len(text.encode())
+    tracemalloc.start()
+    try:
+        words, firsts = vocabulary._split([vocabulary._plain(text)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words[:5].to_pylist() == [w.encode() for w in ("wörter", "über", "words", ",", "it")] and firsts.tolist() == [0, len(words)]
+    assert peak < 25 * size
